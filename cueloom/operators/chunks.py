@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.functions.text import norm_key_b
 from cueloom.plans.blocks import Ordered, lag, lead, row_number
 from cueloom.plans.chains import path_roots
+from cueloom.session import materialize
 
 # Container header bytes, time tolerance, tie tolerance, votes needed.
 HEADER_BYTES = 45
@@ -136,27 +137,28 @@ def match_overlap_words(words: DataFrame) -> DataFrame:
             F.abs(F.col("l.start") - F.col("r.start")) + F.abs(F.col("l.end") - F.col("r.end"))
         ).alias("d"),
     )
-    # Best and second best on each side; copies of the best count as a tie. Only two values
-    # per word are kept, with partial aggregation.
-    def unique_best(side, other, copies):
-        best = pairs.groupBy("media_id", "chunk", side).agg(
-            F.min(F.struct("d", other, copies)).alias("b")
+    # The candidates of one word are the distinct times of its token around it, so these
+    # groups are small; rank and runner-up decide whether the nearest is unique.
+    for_right = Window.partitionBy("media_id", "chunk", "pos").orderBy("d", "prev_pos")
+    for_left = Window.partitionBy("media_id", "chunk", "prev_pos").orderBy("d", "pos")
+
+    def tied(second):
+        return F.coalesce(
+            F.abs(F.col(second) - F.col("d"))
+            <= F.greatest(F.lit(TIE), F.lit(TIE_RELATIVE) * F.greatest(second, "d")),
+            F.lit(False),
         )
-        rivals = pairs.join(best, ["media_id", "chunk", side]).where(
-            F.col(other) != F.col(f"b.{other}")
-        ).groupBy("media_id", "chunk", side).agg(F.min("d").alias("second"))
-        tie = F.abs(F.col("second") - F.col("b.d")) <= F.greatest(
-            F.lit(TIE), F.lit(TIE_RELATIVE) * F.greatest("second", "b.d")
-        )
-        return best.join(rivals, ["media_id", "chunk", side], "left").where(
-            (F.col(f"b.{copies}") == 1) & ~F.coalesce(tie, F.lit(False))
-        ).select("media_id", "chunk", side, F.col(f"b.{other}").alias(other))
 
-    from_right = unique_best("pos", "prev_pos", "l_n")
-    from_left = unique_best("prev_pos", "pos", "r_n")
-    # A match copied on its own side would be answered twice and is never mutual-unique:
-    # the copy's rival check on the other side drops it.
-    return from_right.join(from_left, ["media_id", "chunk", "pos", "prev_pos"])
+    ranked = pairs.withColumns({
+        "r_rank": F.row_number().over(for_right), "r_second": F.lead("d").over(for_right),
+    }).withColumns({
+        "l_rank": F.row_number().over(for_left), "l_second": F.lead("d").over(for_left),
+    })
+    return ranked.where(
+        (F.col("r_rank") == 1) & (F.col("l_rank") == 1)
+        & (F.col("l_n") == 1) & (F.col("r_n") == 1)
+        & ~tied("r_second") & ~tied("l_second")
+    ).select("media_id", "chunk", "pos", "prev_pos")
 
 
 def map_speakers(words: DataFrame, matches: DataFrame) -> DataFrame:
@@ -221,13 +223,13 @@ def merge_chunks(chunks: DataFrame, chunk_words: DataFrame) -> DataFrame:
     ``chunk_words``: media_id, chunk, pos, start, end (relative to the chunk), text, speaker.
     """
     times = _chunk_times(chunks)
-    words = _absolute(chunk_words, times)
+    words = materialize(_absolute(chunk_words, times))
     single = F.col("prev_end").isNull() & F.col("next_start").isNull()
     alone = words.where(single).select(
         "media_id", "chunk", "pos", "start", "end", "text", "speaker"
     )
     many = words.where(~single)
-    matches = match_overlap_words(many)
+    matches = materialize(match_overlap_words(many))
     mapping = map_speakers(many, matches)
 
     def node(chunk, pos):

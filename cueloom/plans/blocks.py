@@ -5,7 +5,8 @@ are range-partitioned by (key, order) instead, so a large recording spans many b
 Every scan is then done in two steps: a window inside each block, and a correction
 carried in from the neighbouring blocks. At most one key enters and one key leaves each
 block, so the carried corrections number at most two rows per block, a bound that depends
-on the partition count and not on the data; they are broadcast.
+on the partition count and not on the data; they are broadcast. A table whose counted
+rows fit one task skips all that: plain windows give the same answer.
 
 ``order`` must be a total order inside a key.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.session import materialize
@@ -79,6 +80,14 @@ def following(value: Column, k: int) -> Scan:
     return Scan("following", value, k=k)
 
 
+WHOLE_ROWS = "spark.cueloom.wholeRows"
+
+
+def whole_rows(spark: SparkSession) -> int:
+    """Up to this many rows a table is scanned with its keys whole, above it in blocks."""
+    return int(spark.conf.get(WHOLE_ROWS, "1000000"))
+
+
 class Ordered:
     """Rows placed in ordered blocks; ``scan`` adds columns, ``rows`` gives them back."""
 
@@ -89,12 +98,14 @@ class Ordered:
     def of(
         cls, df: DataFrame, by: Sequence[str], order: Sequence[str], blocks: int | None = None
     ) -> Ordered:
-        n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if n == 1:
-            placed = df.coalesce(1).withColumn(BLOCK, F.lit(0))
-            return cls(placed, by, order, 1)
-        placed = df.repartitionByRange(n, *by, *order).withColumn(BLOCK, F.spark_partition_id())
-        # Both steps of a scan must see the same blocks, also after an executor is lost.
+        spark = df.sparkSession
+        n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Both steps of a scan must see the same rows, also after an executor is lost.
+        base = materialize(df)
+        if n == 1 or base.count() <= whole_rows(spark):
+            # The counted rows fit one task even if one key holds them all.
+            return cls(base.withColumn(BLOCK, F.pmod(F.hash(*by), F.lit(n))), by, order, 1)
+        placed = base.repartitionByRange(n, *by, *order).withColumn(BLOCK, F.spark_partition_id())
         return cls(materialize(placed), by, order, n)
 
     @property
