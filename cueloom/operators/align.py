@@ -41,23 +41,32 @@ def leading_tokens(tokens: Column) -> Column:
 
     def time_range(t):
         def pair(a, b):
-            lo, hi = token_time(t[a]), token_time(t[b])
-            return F.when(hi >= lo, F.struct(lo.alias("start"), hi.alias("end")))
+            lo_hi = F.struct(token_time(t[a]).alias("start"), token_time(t[b]).alias("end"))
+            return let(lo_hi, lambda x: F.when(x["end"] >= x["start"], x))
 
         return F.coalesce(pair("offset_from", "offset_to"), pair("stamp_from", "stamp_to"))
 
     real = F.filter(
         tokens, lambda t: t["text"].isNotNull() & (t["text"] != "") & ~is_special_token(t["text"])
     )
-    first = F.try_element_at(real, F.lit(1))
-    second = F.try_element_at(real, F.lit(2))
-    r1 = time_range(first)
-    return F.struct(
-        first["text"].alias("text"),
-        r1.alias("r1"),
-        F.when(r1.isNotNull(), time_range(second)).alias("r2"),
+    two = F.transform(
+        F.slice(real, 1, 2), lambda t: F.struct(t["text"].alias("text"), time_range(t).alias("r"))
     )
 
+    def shape(x):
+        first, second = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+        return F.struct(
+            first["text"].alias("text"), first["r"].alias("r1"),
+            F.when(first["r"].isNotNull(), second["r"]).alias("r2"),
+        )
+
+    return let(two, shape)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
 def _first_by(a: str, b: str) -> Column:
     """The later of two intervals that each open a suffix."""

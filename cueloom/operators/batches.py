@@ -262,7 +262,7 @@ def run_with_retries(
             *[c for c in plain if c != "payload"], F.lit(attempt).alias("attempt"),
             F.when(fault.isNull(), "complete").otherwise("failed").alias("status"), fault.alias("error"),
         )
-        good = out.where(fault.isNull())
+        good = out.where(fault.isNull()).select(*plain, "reply")
         accepted = good if accepted is None else accepted.unionByName(good)
         log = entry if log is None else log.unionByName(entry)
         bad = out.where(fault.isNotNull())
