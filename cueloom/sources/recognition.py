@@ -287,6 +287,11 @@ def read_progress_log(lines: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("line", PROGRESS_LINE, 1), F.lit("")),
         F.nullif(F.regexp_extract("line", DOWNLOAD_LINE, 1), F.lit("")),
     ).cast("double")
-    return lines.select(
-        *[c for c in lines.columns if c != "line"], (F.least(F.lit(100.0), percent) / 100).alias("progress")
-    ).where("progress is not null")
+    return (
+        lines.withColumn("__p", percent)
+        .where("__p is not null")
+        .select(
+            *[c for c in lines.columns if c != "line"],
+            (F.least(F.lit(100.0), "__p") / 100).alias("progress"),
+        )
+    )
