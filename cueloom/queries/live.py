@@ -9,19 +9,20 @@ from cueloom.queries import views as V
 from cueloom.queries.registry import query, with_
 from cueloom.session import scratch_dir
 from cueloom.streaming import operators as L
-from cueloom.streaming.run import arrivals, drain, remerge_spans, replay
+from cueloom.streaming.run import remerge_spans, replay, replay_through
 from cueloom.streaming.settle import settle
 
 PARTS = 3
 
 
-def live(rows, parts: int = PARTS):
-    """``rows`` (with seq) as a stream that arrives in ``parts`` files, one per trigger."""
-    thirds = F.floor(F.col("seq") / (F.lit(1) + F.col("__top")) * parts)
-    top = rows.agg(F.max("seq").alias("__top"))
-    marked = rows.join(F.broadcast(top))  # one row: the highest number
-    path = replay(marked.select(*rows.columns, thirds.alias("__p")), F.col("__p"), parts)
-    return arrivals(rows.sparkSession, path, rows.schema, 1)
+def live(rows, operator, parts: int = PARTS):
+    """The output of ``operator`` for ``rows`` (with seq) arriving in ``parts`` steps."""
+    return replay_through(*steps(rows, parts), operator)
+
+
+def steps(rows, parts: int = PARTS):
+    top = rows.agg(F.max("seq")).first()[0]
+    return rows, F.floor(F.col("seq") / F.lit(top + 1) * parts), parts
 
 
 WINDOWS = """dr as (select media_id, max("end") as d from iv group by media_id),
@@ -45,13 +46,13 @@ def stream_chunk_windows(spark, d):
     rows = decoded.rows.select(
         "media_id", F.col("ordinal").alias("seq"), F.col("reach").alias("end"), F.col("after").isNull().alias("closed")
     )
-    return drain(L.stream_chunks(live(rows)))
+    return live(rows, L.stream_chunks)
 
 
 @query("stream_continuous_feed")
 def stream_continuous_feed(spark, d):
     iv = V.intervals(spark, d)
-    return drain(L.continuous_feed(live(iv.select("media_id", F.col("ordinal").alias("seq"), "end"))))
+    return live(iv.select("media_id", F.col("ordinal").alias("seq"), "end"), L.continuous_feed)
 
 
 @query(
@@ -68,7 +69,7 @@ def stream_trim_ingested(spark, d):
         "media_id", k.alias("seq"), F.floor("start").cast("double").alias("offset"),
         ((1 + k % 30) * 100).alias("frames"), F.lit(100).alias("rate"),
     )
-    return drain(L.trim_ingested(live(rows)))
+    return live(rows, L.trim_ingested)
 
 
 GENERATION = "(ordinal // 100 - case when ordinal % 17 = 0 then 1 else 0 end)"
@@ -97,7 +98,7 @@ ASR = f"""ae as (select media_id, ordinal as seq, {GENERATION} as generation,
           select="select media_id, seq, generation, kind, text from m where generation = g"),
 )
 def stream_fence_generation(spark, d):
-    return drain(L.fence_generation(live(asr_events(spark, d)))).select("media_id", "seq", "generation", "kind", "text")
+    return live(asr_events(spark, d), L.fence_generation).select("media_id", "seq", "generation", "kind", "text")
 
 
 @query(
@@ -110,7 +111,7 @@ def stream_fence_generation(spark, d):
       from gr join fi on fi.media_id = gr.media_id and fi.seq = gr.seq where keep"""),
 )
 def stream_fold_partials(spark, d):
-    finals = drain(L.fold_partials(live(asr_events(spark, d))))
+    finals = live(asr_events(spark, d), L.fold_partials)
     return L.number_finals(finals).select("media_id", "seq", "start", "end", "text", "id")
 
 
@@ -122,7 +123,7 @@ def stream_fold_partials(spark, d):
       union all select media_id, seq, 'ended', text from ae where kind = 'closed'"""),
 )
 def stream_current_partial(spark, d):
-    return drain(L.current_partial(live(asr_events(spark, d)))).select("media_id", "seq", "kind", "text")
+    return live(asr_events(spark, d), L.current_partial).select("media_id", "seq", "kind", "text")
 
 
 @query(
@@ -135,7 +136,7 @@ def stream_emit_deltas(spark, d):
     rows = V.intervals(spark, d).select(
         "media_id", F.col("source").alias("id"), F.col("ordinal").alias("seq"), F.floor(F.col("ordinal") / 40).alias("version")
     )
-    return drain(L.emit_deltas(live(rows), changed=True))
+    return live(rows, lambda s: L.emit_deltas(s, changed=True))
 
 
 def refed_words(spark, d):
@@ -150,13 +151,13 @@ def refed_words(spark, d):
 
 @query("stream_dedup_words")
 def stream_dedup_words(spark, d):
-    return drain(L.dedup_words_stream(live(refed_words(spark, d).drop("ordinal"))))
+    return live(refed_words(spark, d).drop("ordinal"), L.dedup_words_stream)
 
 
 @query("stream_dispatch")
 def stream_dispatch(spark, d):
     w = V.words(spark, d).select("media_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("ordinal").cast("long").alias("seq"), "start", "end")
-    return drain(L.dispatch_stream(live(w), 40))
+    return live(w, lambda s: L.dispatch_stream(s, 40))
 
 
 @query("dispatch_once")
@@ -174,7 +175,7 @@ def stream_forced_flush(spark, d):
     rows = V.intervals(spark, d).select(
         "media_id", k.alias("seq"), F.when(k % 6 == 0, "durable").otherwise("sent").alias("kind"), "end"
     )
-    return drain(L.forced_flush(live(rows)))
+    return live(rows, L.forced_flush)
 
 
 @query(
@@ -206,7 +207,8 @@ def stream_late_spans(spark, d):
     spans = V.intervals(spark, d).where("event_type in ('click', 'purchase')").select(
         "media_id", "start", "end", (F.col("ordinal") * 7919 % 1000).alias("seq")
     )
-    return remerge_spans(live(spans), 0.04, scratch_dir(spark, "spans"))
+    table, state = scratch_dir(spark, "spans"), scratch_dir(spark, "state")
+    return replay(*steps(spans), lambda s: remerge_spans(s, 0.04, table, state))
 
 
 SETTLE = """landed as (select *, 'w' || first_word || '-' || last_word as wid, ordinal as land from cues where ordinal % 40 <> 33),

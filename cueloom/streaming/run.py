@@ -2,55 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueloom.operators.intervals import coalesce_intervals
 from cueloom.session import materialize, scratch_dir
 
 
-def replay(rows: DataFrame, part: Column, parts: int) -> str:
-    """Write ``rows`` as ``parts`` successive arrivals; ``part`` numbers them from 0."""
-    path = scratch_dir(rows.sparkSession, "replay")
-    kept = materialize(rows.withColumn("__part", part))
-    for i in range(parts):
-        kept.where(F.col("__part") == i).drop("__part").write.mode("append").parquet(f"{path}/arrival={i:04d}")
-    return path
-
-
-def arrivals(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
-    """A stream of the files below ``path``, at most ``per_trigger`` at a time."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", per_trigger)
-        .option("recursiveFileLookup", "true")
-        .parquet(path)
-    )
+def arrivals(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the Parquet files below ``path``."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def drain(stream: DataFrame, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
-    """Run a stream over everything available and return what it appended."""
-    spark = stream.sparkSession
-    out = out or scratch_dir(spark, "stream-out")
+def drain(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run a stream over everything available; returns all it has appended to ``out``."""
     (
         stream.writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", checkpoint or scratch_dir(spark, "stream-state"))
+        .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
 
+def replay(
+    rows: DataFrame, part: Column, parts: int, consume: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Let ``rows`` arrive in ``parts`` steps, numbered from 0 by ``part``.
 
-def remerge_spans(stream: DataFrame, tolerance: float, table: str, checkpoint: str | None = None) -> DataFrame:
+    ``consume`` takes the stream of arrived rows and returns what it has produced so far.
+    The query stops and starts again from its checkpoint between steps, as after a failure.
+    """
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "arrivals")
+    kept = materialize(rows.withColumn("__part", part))
+    result = None
+    for i in range(parts):
+        step = kept.where(F.col("__part") == i).drop("__part")
+        step.write.mode("append").parquet(f"{path}/step={i}")
+        result = consume(arrivals(spark, path, rows.schema))
+    return result
+
+
+def replay_through(rows: DataFrame, part: Column, parts: int, operator) -> DataFrame:
+    """What the streaming ``operator`` appends for ``rows`` arriving in steps."""
+    out, state = scratch_dir(rows.sparkSession, "out"), scratch_dir(rows.sparkSession, "state")
+    return replay(rows, part, parts, lambda stream: drain(operator(stream), out, state))
+
+
+def remerge_spans(stream: DataFrame, tolerance: float, table: str, checkpoint: str) -> DataFrame:
     """Late and out-of-order speech spans: keep the raw spans, merge them anew per key.
 
     Each micro-batch lands under its own batch number, so a batch that is run again after a
     failure replaces itself.
     """
-    from cueloom.operators.intervals import coalesce_intervals
-
     spark = stream.sparkSession
     schema = stream.schema
 
@@ -59,7 +69,7 @@ def remerge_spans(stream: DataFrame, tolerance: float, table: str, checkpoint: s
 
     (
         stream.writeStream.foreachBatch(land)
-        .option("checkpointLocation", checkpoint or scratch_dir(spark, "stream-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
