@@ -26,13 +26,26 @@ def wide_ranges() -> str:
 
 
 def text_weight(s: Column) -> Column:
-    """Display width: wide characters count two, all others one."""
-    return F.char_length(s) + F.char_length(F.regexp_replace(s, f"[^{wide_ranges()}]", ""))
+    """Display width: wide characters count two, all others one.
+
+    Everything wide lies above the Latin and other narrow scripts, so one cheap range drops
+    nearly all text before the long list of ranges is tried.
+    """
+    rest = F.regexp_replace(s, "[\\x{0}-\\x{10ff}]+", "")
+    wide = F.when(F.length(rest) > 0, F.char_length(F.regexp_replace(rest, f"[^{wide_ranges()}]", "")))
+    return F.char_length(s) + F.coalesce(wide, F.lit(0))
+
+
+# Every character that counts as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(s: Column) -> Column:
     """Trim every leading and trailing whitespace character."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.trim(s, F.lit(WHITESPACE))
 
 
 def word_weight(s: Column) -> Column:
