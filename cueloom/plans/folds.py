@@ -49,9 +49,11 @@ def fold(placed: Ordered, reset: str, step: Step, decision_type: str = "boolean"
     def run_fresh(pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf, None)
 
-    tails = materialize(
-        rows.where(~F.col("__head")).groupBy(BLOCK).applyInPandas(run_fresh, schema)
-    )
+    tails = rows.where(~F.col("__head")).groupBy(BLOCK).applyInPandas(run_fresh, schema)
+    if placed.blocks == 1:
+        # Keys are whole, and every key begins with a reset: no heads.
+        return tails.drop("__head", "__exit")
+    tails = materialize(tails)
     done = [tails]
     heads = rows.where("__head")
     # One small row per block: its number and whether a head or a tail is in it.

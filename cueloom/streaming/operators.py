@@ -224,7 +224,9 @@ def dispatch_stream(words: DataFrame, target: int) -> DataFrame:
             gaps = [*gaps, [row["ordinal"] - 1, row["start"] - reach]]
             stop = cut(first, row["ordinal"], gaps)
             while stop is not None:
-                out.append({"first_ordinal": first, "last_ordinal": stop - 1})
+                # A cut short of the target is passed over; the final pass takes its words.
+                if stop - first >= target:
+                    out.append({"first_ordinal": first, "last_ordinal": stop - 1})
                 first, gaps = stop, [g for g in gaps if g[0] >= stop]
                 stop = cut(first, row["ordinal"], gaps)
         reach = row["end"] if reach is None else max(reach, row["end"])
