@@ -449,7 +449,7 @@ def trace_lines(spark, d, dialect):
     ident = F.concat(F.lit("i"), k.cast("string"))
     js = lambda *c: F.to_json(F.struct(*c))
     lit = lambda v, n: F.lit(v).alias(n)
-    if dialect == "codex":
+    if dialect == "items":
         item = lambda kind, *c: F.struct(lit(kind, "type"), ident.alias("id"), *c).alias("item")
         line = (
             F.when(k % 4 == 0, js(lit("item.completed", "type"), item("agent_message", F.col("props").alias("text"))))
@@ -457,7 +457,7 @@ def trace_lines(spark, d, dialect):
             .when(k % 4 == 2, js(lit("item.completed", "type"), item("tool_call", lit("srv", "server"), F.col("event_type").alias("tool"), F.col("props").alias("result"))))
             .otherwise("not json")
         )
-    elif dialect == "claude":
+    elif dialect == "blocks":
         block = lambda *c: F.struct(F.array(F.struct(*c)).alias("content")).alias("message")
         line = (
             F.when(k % 3 == 0, js(lit("assistant", "type"), block(lit("text", "type"), F.col("event_type").alias("text"))))
@@ -480,7 +480,7 @@ def trace_lines(spark, d, dialect):
       case event_id % 4 when 2 then props end as detail from events where event_id % 4 <> 3""",
 )
 def traces_items(spark, d):
-    out = TR.normalize_traces(trace_lines(spark, d, "codex").withColumnRenamed("event_id", "row"), "codex")
+    out = TR.normalize_traces(trace_lines(spark, d, "items").withColumnRenamed("event_id", "row"), "items")
     return out.select(F.col("row").alias("event_id"), "n", "kind", "message", F.col("event_id").alias("event_id_"), "detail")
 
 
@@ -491,7 +491,7 @@ def traces_items(spark, d):
       case when event_id % 3 > 0 then 'i' || event_id end as event_id, case event_id % 3 when 1 then 'k: ' || event_id when 2 then props end as detail from events""",
 )
 def traces_blocks(spark, d):
-    return TR.normalize_traces(trace_lines(spark, d, "claude").withColumnRenamed("event_id", "row"), "claude")
+    return TR.normalize_traces(trace_lines(spark, d, "blocks").withColumnRenamed("event_id", "row"), "blocks")
 
 
 @query(
@@ -501,7 +501,7 @@ def traces_blocks(spark, d):
       case when event_id % 3 < 2 then 'i' || event_id end as event_id, case event_id % 3 when 1 then event_type end as detail from events""",
 )
 def traces_stream(spark, d):
-    return TR.normalize_traces(trace_lines(spark, d, "gemini").withColumnRenamed("event_id", "row"), "gemini")
+    return TR.normalize_traces(trace_lines(spark, d, "stream").withColumnRenamed("event_id", "row"), "stream")
 
 
 @query("append_audit", "select event_id, props as payload, cast(event_id // 2 as double) as base from events union all select event_id, props, cast(event_id // 2 as double) from events where event_id % 2 = 0")

@@ -267,7 +267,7 @@ def test_traces_and_levels(spark):
         {"type": "turn.failed", "error": {"message": "no"}},
     ]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "row long, line string")
-    got = {r.row: r for r in traces.normalize_traces(df, "codex").collect()}
+    got = {r.row: r for r in traces.normalize_traces(df, "items").collect()}
     assert set(got) == {1, 2} and got[1].message == "Run ls · exit 2" and len(got[1].detail) == 2002
     assert (got[2].kind, got[2].message) == ("error", "message: no")
     samples = spark.createDataFrame([(1, i, v, 100) for i, v in enumerate([3, 4, 5, 0, 7])], "media_id long, i long, sample int, rate int")
