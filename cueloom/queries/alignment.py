@@ -172,6 +172,20 @@ def select_alignment(spark, d):
     )
 
 
+@query(
+    "rejected_word_audit",
+    with_(V.IV, V.CUES, ATTEMPTS, select="""select sc.media_id, sc.id, sc.attempt, case when sc.k % 7 = 0 then pos // 2 else 0 end::bigint as segment, pos,
+      'w' || pos as word, case when s + sc.ws >= 0 and s + sc.ws <= duration + 1e-6::double then s + sc.ws end as start,
+      case when e + sc.ws >= 0 and e + sc.ws <= duration + 1e-6::double then e + sc.ws end as "end", score
+      from sc join jd on jd.media_id = sc.media_id and jd.id = sc.id and jd.attempt = sc.attempt where outcome = 'zero-first-token-score'"""),
+)
+def rejected_word_audit(spark, d):
+    cues = V.event_cues(spark, d)
+    windows = A.attempt_windows(cues, V.durations(cues, 0.9))
+    out = A.rejected_word_audit(windows, scored_words(cues, windows))
+    return out.withColumn("segment", F.col("segment").cast("long"))
+
+
 @query(
     "mean_word_score",
     with_(V.IV, V.CUES, ATTEMPTS, select="""select media_id, id, case when k % 7 = 0 then pos // 2 else 0 end::bigint as segment,

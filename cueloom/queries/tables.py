@@ -218,32 +218,50 @@ def batch_summary(spark, d):
     return R.batch_summary(iv, results(iv))
 
 
-BOUNDS = """bd as (select media_id, ordinal, bool_or(forced) as forced from (
+BOUNDS = """bd as materialized (select media_id, ordinal, bool_or(forced) as forced from (
     select media_id, pos - 1 as ordinal, false as forced from fin where pos > 0
     union all select media_id, stop - 1, (n - pos > 80 and not exists (select 1 from sil where sil.media_id = fin.media_id
       and ordinal between pos + 19 and pos + 78)) from fin where stop < n) group by media_id, ordinal)"""
 
 
-@query(
-    "suspicious_junctions",
-    with_(V.WORDS, V.TURNS, SILENCES, BATCHES, BOUNDS, """half as (
-        select media_id, id || 'a' as id, start, "end", speaker, first_word, (first_word + last_word) // 2 as last_word from cues
-        union all select media_id, id || 'b', start, "end", speaker, (first_word + last_word) // 2 + 1, last_word from cues
-          where last_word > first_word)""",
-          recursive=True, select="""select j.media_id, j.ordinal, j.forced, l.id as left_id, r.id as right_id, l.first_word as low, r.last_word as high
-      from bd j join half l on l.media_id = j.media_id and j.ordinal between l.first_word and l.last_word
-      join half r on r.media_id = j.media_id and j.ordinal + 1 between r.first_word and r.last_word
-      where l.id <> r.id and (forced or (l.speaker is not distinct from r.speaker and r.start - l."end" < 0.8::double))"""),
-)
-def suspicious_junctions(spark, d):
+HALVES = """half as materialized (
+    select media_id, id || 'a' as id, start, "end", speaker, first_word, (first_word + last_word) // 2 as last_word from cues
+    union all select media_id, id || 'b', start, "end", speaker, (first_word + last_word) // 2 + 1, last_word from cues
+      where last_word > first_word),
+  jn as materialized (select j.media_id, j.ordinal, j.forced, l.id as left_id, r.id as right_id, l.first_word as low, r.last_word as high
+    from bd j join half l on l.media_id = j.media_id and j.ordinal between l.first_word and l.last_word
+    join half r on r.media_id = j.media_id and j.ordinal + 1 between r.first_word and r.last_word
+    where l.id <> r.id and (forced or (l.speaker is not distinct from r.speaker and r.start - l."end" < 0.8::double)))"""
+
+
+def junctions(spark, d):
+    """Suspicious junctions between cues that each cover half a turn, and those cues."""
     words, cues = V.words(spark, d), V.cues(spark, d)
     middle = F.floor((F.col("first_word") + F.col("last_word")) / 2).cast("int")
     left = cues.withColumns({"id": F.concat("id", F.lit("a")), "last_word": middle})
     right = cues.where("last_word > first_word").withColumns(
         {"id": F.concat("id", F.lit("b")), "first_word": middle + 1}
     )
-    bounds = R.batch_boundaries(W.batch_words(words, 40), words)
-    return R.suspicious_junctions(bounds, left.unionByName(right))
+    halves = left.unionByName(right)
+    return R.suspicious_junctions(R.batch_boundaries(W.batch_words(words, 40), words), halves), halves
+
+
+@query(
+    "suspicious_junctions",
+    with_(V.WORDS, V.TURNS, SILENCES, BATCHES, BOUNDS, HALVES, recursive=True, select="select * from jn"),
+)
+def suspicious_junctions(spark, d):
+    return junctions(spark, d)[0]
+
+
+@query(
+    "replaced_cues",
+    with_(V.WORDS, V.TURNS, SILENCES, BATCHES, BOUNDS, HALVES, recursive=True,
+          select="""select distinct jn.media_id, jn.ordinal, c.id from jn join half c on c.media_id = jn.media_id
+      and c.first_word >= low and c.last_word <= high and c.first_word <= high"""),
+)
+def replaced_cues(spark, d):
+    return R.replaced_cues(*junctions(spark, d))
 
 
 @query(

@@ -21,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") - 1704067200000
+    # Counted from the epoch without a time zone, so the session's zone does not matter.
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
+    ms = F.floor(micros / 1000).cast("long") - 1704067200000
     begin = F.floor(ms / 20).cast("long")
     return e.select(
         (F.col("user_id") % 3).alias("media_id"),
