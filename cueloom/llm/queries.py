@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import op1_resample, op4_forest, op5_surrogates, op6_containment, op8_mixture
+from cueloom.llm import (
+    op1_resample, op2_differencing, op3_warc, op4_forest, op5_surrogates, op6_containment, op7_paragraphs,
+    op8_mixture, op9_projected, op10_licenses,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +99,42 @@ def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = op8_mixture.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    """
+    with p as (select page_id, coalesce(html, '') html from pages),
+    d as (select page_id, octet_length(encode(html))::bigint payload_bytes, sha256(html) payload_digest from p),
+    f as (select payload_digest, min(page_id) as first, count(*) n from d where payload_bytes >= 100 group by 1),
+    r as (select d.*, n > 1 and first is not null and (page_id is null or page_id > first) as again, first
+          from d left join f using (payload_digest))
+    select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end record_type,
+           case when again then first end refers_to
+    from r
+    """
+)
+def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = op3_warc.read_warc(op3_warc.write_warc(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return op9_projected.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query()
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_differencing.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = op7_paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+    return passages.select("doc_id", "start", "words", "cluster_id", "kept")
+
+
+@query()
+def op10_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_licenses.license_notices(table(spark, sf_dir, "documents"))
