@@ -1,9 +1,9 @@
 """License notices in documents, by conditional compression.
 
-Words that announce a license pick candidate blocks: the words around each such place, as
-many as a notice of the class needs (short notices or full texts). A block is compressed
-alone and with each template as a zstandard raw dictionary; the templates are ranked by
-how much smaller the block gets. The best are confirmed, in that order, by exact wording:
+Words that announce a license pick candidate blocks: for each template the words around
+such a place that a notice with that wording would take up, and a few to spare. A block is
+compressed alone and with its template as a zstandard raw dictionary; the templates are
+ranked by how much smaller their blocks get. The best are confirmed, in that order, by exact wording:
 the template's words are aligned with the block's, the differences are listed, and the
 notice stands if few words differ and none of them names a license, a version or a number.
 Confirmed winners own their words; a longer reduction wins an overlap.
@@ -30,7 +30,6 @@ LEVEL = 9
 LEAST_REDUCTION = 0.3
 MOST_DIFFERENT = 0.15
 CONFIRMED = 3
-MARGIN = 6
 
 # The customary wording of license notices and grants.
 TEMPLATES = {
@@ -155,8 +154,9 @@ def notices(text: str, known: list[Template], alone: zstandard.ZstdCompressor) -
     for i in signs:
         ranked = []
         for t in known:
-            begin = max(0, i - t.sign - MARGIN)
-            block = words[begin : i - t.sign + len(t.words) + MARGIN]
+            spare = 1 + int(MOST_DIFFERENT * len(t.words))
+            begin = max(0, i - t.sign - spare)
+            block = words[begin : i - t.sign + len(t.words) + spare]
             data = " ".join(block).encode()
             size = len(alone.compress(data))
             # A notice shorter than its surroundings cannot save more than its own share.
