@@ -42,6 +42,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Repeated digests are broadcast up to this many rows of 40 bytes, else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Tasks that read archives, at most; each reads whole files.
+MOST_READERS = 20_000
 
 MANIFEST = "path string, shard int, seq int, bytes long, sha256 string, records long"
 RECORD = (
@@ -220,4 +222,5 @@ def read_warc(manifest: DataFrame, rows: int = 2000) -> DataFrame:
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema)
 
-    return manifest.select("folder", "path").repartition("path").mapInArrow(read, RECORD)
+    files = max(1, min(manifest.count(), MOST_READERS))
+    return manifest.select("folder", "path").repartition(files, "path").mapInArrow(read, RECORD)
