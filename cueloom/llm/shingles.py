@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
@@ -39,7 +39,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES + (1 << 16))
         both = []
         for base in (_PRIME, inverse):
             row = np.full(size, base, np.uint64)
