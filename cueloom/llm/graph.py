@@ -12,12 +12,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from cueloom.llm.store import stored
 
 BLOCK = 256
+PACK = 64
 COLUMNS = 4096
 
 
@@ -66,19 +67,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("vertex"), "root").distinct())
 
 
-def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Members of each root dealt to block pairs (i, j), i <= j, of about ``block`` vertices.
+def in_blocks(members: DataFrame, block: int = BLOCK) -> GroupedData:
+    """Members of each root grouped for ``verifier``, in tasks of bounded size.
 
-    ``members`` has ``root`` and ``vertex``, each vertex once. A root of k blocks sends a
-    vertex to k tasks; almost every root has one block.
+    ``members`` has ``root`` and ``vertex``. A root of k > 1 blocks of about ``block``
+    vertices is dealt to block pairs (i, j), i <= j, so a vertex goes to k tasks. Roots of
+    one block, almost all, are packed together: a pair found across roots is exact as well.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+    sizes = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    few = sizes.where(F.col("size") <= block).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    packs = max(1, -(-few // PACK))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    root = F.xxhash64("root")
     return (
-        members.join(sizes, "root").withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members.join(sizes, "root").withColumn("alone", F.col("size") <= block)
+        .withColumn("pack", F.when(F.col("alone"), F.pmod(root, F.lit(packs))).otherwise(root))
+        .withColumn("mine", F.pmod(F.xxhash64("vertex"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-        .drop("blocks", "other")
+        .select("alone", "pack", "i", "j", "mine", "vertex", "copies", "content")
+        .groupBy("alone", "pack", "i", "j")
     )
 
 
@@ -97,10 +105,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     if not len(group):
         return shared.astype(np.int64)
     group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
-    cuts = np.searchsorted(group, np.arange(0, group[-1] + 1 + COLUMNS, COLUMNS))
+    width = min(COLUMNS, group[-1] + 1)
+    cuts = np.searchsorted(group, np.arange(0, group[-1] + 1 + width, width))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        table = np.zeros((n, COLUMNS), np.float32)
-        table[owner[a:b], group[a:b] - k * COLUMNS] = 1
+        table = np.zeros((n, width), np.float32)
+        table[owner[a:b], group[a:b] - k * width] = 1
         shared += table @ table.T
     return shared.astype(np.int64)
 
@@ -115,8 +124,14 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return linked
 
 
+def _same(ids: pa.Array) -> np.ndarray:
+    """Rows of one vertex, which may come with several of its groups."""
+    code = ids.dictionary_encode().indices.to_numpy()
+    return code[:, None] == code[None, :]
+
+
 def verifier(sets_of: Callable[[pa.Array], list[np.ndarray]], threshold: float, id_type: pa.DataType):
-    """For ``applyInArrow`` over (root, i, j): links of each vertex and its local root.
+    """For ``applyInArrow`` over ``in_blocks``: links of each vertex and its local root.
 
     Rows need ``vertex``, ``mine``, ``i``, ``j``, ``copies`` and ``content``. Between two
     blocks only pairs across count, so a pair is counted in exactly one task.
@@ -128,6 +143,7 @@ def verifier(sets_of: Callable[[pa.Array], list[np.ndarray]], threshold: float,
         block = rows.column("mine").to_numpy()
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         linked = similar(sets_of(rows.column("content")), threshold)
+        linked &= ~_same(ids)
         if i != j:
             linked &= block[:, None] != block[None, :]
         links = linked @ rows.column("copies").to_numpy()

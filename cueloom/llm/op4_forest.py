@@ -108,7 +108,7 @@ def similar_documents(
         .dropDuplicates(["vertex"])
     )
     verified = stored(
-        graph.in_blocks(members, block).groupBy("root", "i", "j").applyInArrow(
+        graph.in_blocks(members, block).applyInArrow(
             graph.verifier(shingles.shingle_sets, threshold, pa.binary()),
             "vertex binary, links long, near binary",
         )
