@@ -67,14 +67,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("vertex"), "root").distinct())
 
 
-def in_blocks(members: DataFrame, block: int = BLOCK) -> GroupedData:
+def in_blocks(members: DataFrame, sizes: DataFrame, block: int = BLOCK) -> GroupedData:
     """Members of each root grouped for ``verifier``, in tasks of bounded size.
 
-    ``members`` has ``root`` and ``vertex``. A root of k > 1 blocks of about ``block``
+    ``members`` has ``root``, ``vertex``, ``copies`` and ``content``; ``sizes`` has
+    ``root`` and ``size``, its number of vertices. A root of k > 1 blocks of about ``block``
     vertices is dealt to block pairs (i, j), i <= j, so a vertex goes to k tasks. Roots of
     one block, almost all, are packed together: a pair found across roots is exact as well.
     """
-    sizes = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     few = sizes.where(F.col("size") <= block).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     packs = max(1, -(-few // PACK))
     blocks = F.ceil(F.col("size") / block).cast("int")

@@ -90,6 +90,7 @@ def similar_documents(
         "vertex", F.explode("keys").alias("key")
     )
     candidates = graph.components(graph.star_edges(keyed))
+    sizes = stored(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
 
     vertices = labelled.groupBy("vertex").agg(
         F.min(F.struct("doc_id", "digest")).alias("first"), F.min("doc_id").alias("copy_id"),
@@ -108,7 +109,7 @@ def similar_documents(
         .dropDuplicates(["vertex"])
     )
     verified = stored(
-        graph.in_blocks(members, block).applyInArrow(
+        graph.in_blocks(members, sizes, block).applyInArrow(
             graph.verifier(shingles.shingle_sets, threshold, pa.binary()),
             "vertex binary, links long, near binary",
         )
