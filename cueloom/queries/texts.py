@@ -293,7 +293,7 @@ def extract_json(spark, d):
         F.when(k == 0, F.col("props"))
         .when(k == 1, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n``` done")))
         .when(k == 2, F.concat(F.lit("well { "), F.lit("} no "), "props"))
-        .when(k == 3, F.concat(F.lit('{"result": '), F.to_json(F.struct(F.col("props").alias("p"))).substr(6, 100000), F.lit("")))
+        .when(k == 3, F.concat(F.lit('{"result": '), F.regexp_replace(F.to_json(F.struct(F.col("props").alias("p"))), '^.{5}', "")))
         .when(k == 4, F.concat(F.lit("so "), "props", F.lit(" ok")))
         .otherwise("no object here")
     )
