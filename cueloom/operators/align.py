@@ -414,9 +414,9 @@ def judge_attempts(windows: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def mean_score(aligned_words: DataFrame) -> DataFrame:
+def mean_score(aligned_words: DataFrame, by: tuple[str, ...] = ("media_id", "id", "segment")) -> DataFrame:
     """Mean word score per aligned cue segment; words without a score do not count."""
-    return aligned_words.groupBy("media_id", "id", "segment").agg(F.avg("score").alias("score"))
+    return aligned_words.groupBy(*by).agg(F.avg("score").alias("score"))
 
 
 def select_alignment(

@@ -188,14 +188,14 @@ def rejected_word_audit(spark, d):
 
 @query(
     "mean_word_score",
-    with_(V.IV, V.CUES, ATTEMPTS, select="""select media_id, id, case when k % 7 = 0 then pos // 2 else 0 end::bigint as segment,
-      round(avg(score), 9) as score from sc where attempt = 1 group by media_id, id, 3"""),
+    with_(V.IV, V.CUES, ATTEMPTS, select="""select media_id, id, attempt, case when k % 7 = 0 then pos // 2 else 0 end::bigint as segment,
+      round(avg(score), 9) as score from sc group by media_id, id, attempt, 4"""),
 )
 def mean_word_score(spark, d):
     cues = V.event_cues(spark, d)
-    windows = A.attempt_windows(cues, V.durations(cues, 0.9)).where("attempt = 1")
-    out = A.mean_score(scored_words(cues, windows))
-    return out.select("media_id", "id", F.col("segment").cast("long").alias("segment"), F.round("score", 9).alias("score"))
+    windows = A.attempt_windows(cues, V.durations(cues, 0.9))
+    out = A.mean_score(scored_words(cues, windows), by=("media_id", "id", "attempt", "segment"))
+    return out.select("media_id", "id", "attempt", F.col("segment").cast("long").alias("segment"), F.round("score", 9).alias("score"))
 
 
 # --- chunks ---

@@ -162,7 +162,7 @@ def stream_dispatch(spark, d):
 
 @query("dispatch_once")
 def dispatch_once(spark, d):
-    words, cues = V.words(spark, d), V.cues(spark, d).where("ordinal < 20")
+    words, cues = V.words(spark, d), V.cues(spark, d).where("stable")
     done = W.missing_word_batches(words, cues, 30).where("first_ordinal % 2 = 0").select(
         "media_id", "first_ordinal", "last_ordinal"
     )

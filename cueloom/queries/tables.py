@@ -320,8 +320,8 @@ def fold_traces(spark, d):
 # --- subtitle checks and rendering ---
 
 EVENTS_V = """ev as (select 'f' || (ordinal % 2) as artifact, media_id, row_number() over (partition by media_id, ordinal % 2 order by ordinal) as pos,
-    start - case when ordinal % 17 = 0 then 30 else 0 end as start, "end" - case when ordinal % 23 = 0 then 9 else 0 end as "end",
-    coalesce(speaker, '') as name, source from iv where start >= 30)"""
+    start + 30 - case when ordinal % 17 = 0 then 30 else 0 end as start, "end" + 30 - case when ordinal % 23 = 0 then 9 else 0 end as "end",
+    coalesce(speaker, '') as name, source from iv)"""
 ASS_TIME = """(case when {0} < 0 then 0 else round_even({0} * 100, 0)::bigint end)"""
 
 
@@ -333,14 +333,12 @@ def ass_sql(x: str) -> str:
 def file_events(spark, d):
     from cueloom.plans.blocks import Ordered, row_number
 
-    iv = V.intervals(spark, d).where("start >= 30").withColumn(
-        "artifact", F.concat(F.lit("f"), (F.col("ordinal") % 2).cast("string"))
-    )
+    iv = V.intervals(spark, d).withColumn("artifact", F.concat(F.lit("f"), (F.col("ordinal") % 2).cast("string")))
     placed = Ordered.of(iv, ["artifact", "media_id"], ["ordinal"]).scan(pos=row_number())
     return placed.rows.select(
         "artifact", "media_id", "pos",
-        (F.col("start") - F.when(F.col("ordinal") % 17 == 0, 30).otherwise(0)).alias("start"),
-        (F.col("end") - F.when(F.col("ordinal") % 23 == 0, 9).otherwise(0)).alias("end"),
+        (F.col("start") + 30 - F.when(F.col("ordinal") % 17 == 0, 30).otherwise(0)).alias("start"),
+        (F.col("end") + 30 - F.when(F.col("ordinal") % 23 == 0, 9).otherwise(0)).alias("end"),
         F.coalesce("speaker", F.lit("")).alias("name"), F.array("source").alias("text_lines"),
     )
 
@@ -428,6 +426,16 @@ def fill_styles(spark, d):
     ))
 
 
+def header_sql(width: int, height: int, size: str, border: str, margins: str) -> str:
+    """The lines above the events. Fixed values of the script format."""
+    return f"""select [
+        '[Script Info]', '; Generated by cueloom', 'ScriptType: v4.00+', 'PlayResX: {width}', 'PlayResY: {height}', 'WrapStyle: 0',
+        'ScaledBorderAndShadow: yes', 'YCbCr Matrix: None', '', '[V4+ Styles]',
+        'Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding',
+        'Style: Default,sans-serif,{size},&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,0,0,0,0,100,100,0,0,1,{border},2,{margins},1', '', '[Events]',
+        'Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text'] as h"""
+
+
 def render_sql(view: str) -> str:
     fix = lambda x: f"replace(replace({x}, '{{', '｛'), '}}', '｝')"
     return f"""ren as (select media_id, row_number() over (partition by media_id order by ordinal) as pos, start, "end",
@@ -442,12 +450,7 @@ def render_sql(view: str) -> str:
     "render_ass",
     with_(V.IV, render_sql("iv"), select="""select artifact, media_id, line_no, line from body
       union all select m.mode, media_id, i.k - 1, h[i.k] from (select distinct media_id from iv) cross join
-        (values ('source'), ('translated'), ('bilingual')) m(mode) cross join (select unnest(range(1, 16)) as k) i cross join (select [
-        '[Script Info]', '; Generated by cueloom', 'ScriptType: v4.00+', 'PlayResX: 1280', 'PlayResY: 720', 'WrapStyle: 0',
-        'ScaledBorderAndShadow: yes', 'YCbCr Matrix: None', '', '[V4+ Styles]',
-        'Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding',
-        'Style: Default,sans-serif,43,&H00FFFFFF,&H000000FF,&H00000000,&H7F000000,0,0,0,0,100,100,0,0,1,2,1,2,40,40,27,1', '', '[Events]',
-        'Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text'] as h)"""),
+        (values ('source'), ('translated'), ('bilingual')) m(mode) cross join (select unnest(range(1, 16)) as k) i cross join (""" + header_sql(1280, 720, "43", "2,1", "40,40,27") + ")"),
 )
 def render_ass(spark, d):
     iv = V.intervals(spark, d)
@@ -519,13 +522,15 @@ def ass_preview_cues(spark, d):
     with_(V.IV, render_sql("iv"), """x as (select *, row_number() over (partition by media_id order by """ + ASS_TIME.format("start") + ", " + ASS_TIME.format('"end"') + """, name, pos) + 14 as line_no
         from fan where mode = 'source')""",
           select=f"""select 'source' as artifact, media_id, line_no, 'Dialogue: 0,' || {ass_sql('start')} || ',' || {ass_sql('"end"')}
-      || ',Default,' || name || ',0,0,0,,' || text as line from x"""),
+      || ',Default,' || name || ',0,0,0,,' || text as line from x
+      union all select 'source', media_id, i.k - 1, h[i.k] from (select distinct media_id from iv) cross join
+        (select unnest(range(1, 16)) as k) i cross join ({header_sql(1920, 1080, "64", "3,1.5", "60,60,40")})"""),
 )
 def canonicalize_ass(spark, d):
-    # The cues were rendered in reverse order; only the events are compared here.
+    # The cues were rendered in reverse order.
     iv = V.intervals(spark, d)
     lines = S.render_ass(S.cue_events(iv.withColumn("ordinal", -F.col("ordinal")), "source"))
-    return S.canonicalize_ass(lines).where("line_no > 14")
+    return S.canonicalize_ass(lines)
 
 
 @query(
