@@ -128,6 +128,27 @@ def test_paragraphs_find_pasted_passages(spark):
     assert op7_paragraphs.repeated_passages(awkward(spark)).where("doc_id in (3,4,5,6,8)").count() == 0
 
 
+def test_paragraphs_find_edited_passages_to_their_ends(spark):
+    rows, spans = [], {}
+    for g, (size, edits) in enumerate([(51, [25]), (60, [3]), (60, [30]), (100, []), (150, [40, 90]), (400, [60, 200, 330])]):
+        passage = prose(50 + g, size)
+        edited = [f"z{g}q{k}" if k in edits else w for k, w in enumerate(passage)]
+        for c, text in enumerate([passage, edited]):
+            w, at = prose(3000 + len(rows), 300), 70 + 31 * c
+            spans[len(rows)] = (at, at + size)
+            rows.append((len(rows), " ".join(w[:at] + text + w[at:]), "a"))
+    docs = docs_of(spark, rows)
+    found = op7_paragraphs.repeated_passages(docs)
+    got = {r.doc_id: (r.start, r.start + r.words, r.cluster_id, r.kept) for r in found.collect()}
+    assert found.count() == len(got) == len(rows)
+    for d, (begin, end, cluster, kept) in got.items():
+        first = spans[d][0] + (4 if d in (2, 3) else 0)  # three words before an edit may be cut off
+        assert spans[d][0] <= begin <= first and end == spans[d][1]
+        assert kept == (d % 2 == 0) and cluster == got[d - d % 2][2]
+    cut = {r.doc_id: r.text for r in op7_paragraphs.without_passages(docs, found).collect()}
+    assert cut[0] == rows[0][1] and len(cut[7].split()) == 300 and len(cut[11].split()) == 300
+
+
 def test_mixture_budgets_and_awkward_rows(spark):
     docs = docs_of(spark, [(i, " ".join(prose(i, 1 + i % 9)), f"s{i % 5}") for i in range(300)])
     rows = op8_mixture.mix(docs).collect()
