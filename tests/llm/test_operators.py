@@ -194,6 +194,21 @@ def test_resampling_parts_junk_from_prose(spark):
     assert op1_resample.keep_good(docs, labels.where("false")).count() == len(rows)
 
 
+def test_resampling_drops_toxic_documents_of_good_quality(spark):
+    rows = [(i, " ".join(prose(i % 50, 60)), "a") for i in range(300)]
+    for i in range(0, 300, 5):  # long texts with a few toxic words
+        w = prose(i % 50, 60) * 8
+        rows[i] = (i, " ".join(w[:90] + ["vilest", "scum"] + w[90:]), "a")
+    rows += [(300 + i, "BUY!! NOW!! " * 30 + str(i), "a") for i in range(40)]
+    labels = spark.createDataFrame(
+        [(i, 1, int(i % 5 == 0)) for i in range(300) if i % 3] + [(300 + i, 0, 0) for i in range(0, 40, 2)],
+        "doc_id long, quality int, toxic int")
+    for told in (labels, labels.where("quality = 1")):
+        ids = {r.doc_id for r in op1_resample.keep_good(docs_of(spark, rows), told).collect()}
+        assert {i for i in range(300) if i % 5} <= ids and not ids & set(range(0, 300, 5))
+    assert not ids or {r.doc_id for r in op1_resample.keep_good(docs_of(spark, rows), labels).collect()}.isdisjoint(range(300, 340))
+
+
 def test_kth_largest(spark):
     values = spark.createDataFrame([(float((i * 7919) % 1000) ** 3,) for i in range(1000)], "x double")
     ordered = sorted((r.x for r in values.collect()), reverse=True)
