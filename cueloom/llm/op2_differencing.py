@@ -13,8 +13,10 @@ each other, and menus that differ from page to page would stay. Hence the struct
 above, and a neighbour that shares ``copy_share`` or more of a page's text is taken for a
 copy of it and deletes nothing. Lines inside a marked article are never deleted.
 
-Neighbours are rows next to each other in a range-sorted partition; a page at the edge of
-a range is paired to its other side only. A hot host spans many ranges.
+Neighbours are rows next to each other in the order of (host, path, url, page_id), which
+is range-sorted: a hot host spans many ranges. The first and last page of each range wait
+with their lines until those of the adjoining ranges are known (two rows a range at most;
+empty ranges are passed over), so the texts do not depend on where ranges end.
 
 Defined results: null or empty html gives an empty text. A null url sorts first, under an
 empty host. Rows that repeat are handled one by one; equal pages are copies. Other columns
@@ -33,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.llm.store import stored
+
 COPY_SHARE = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -169,46 +173,87 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def differenced(lines: list[str], neighbours: list[list[str]], copy_share: float) -> list[str]:
-    """The lines without those shared with a neighbour that is no copy."""
+def deleted(lines: list[str], neighbours: list[list[str]], copy_share: float) -> set[int]:
+    """The places of lines shared with a neighbour that is no copy."""
     total = sum(map(len, lines)) or 1
     gone: set[int] = set()
     for other in neighbours:
         shared = shared_lines(lines, other)
         if sum(len(lines[i]) for i in shared) < copy_share * total:
             gone |= shared
+    return gone
+
+
+def differenced(lines: list[str], neighbours: list[list[str]], copy_share: float) -> list[str]:
+    """The lines without those shared with a neighbour that is no copy."""
+    gone = deleted(lines, neighbours, copy_share)
     return [t for i, t in enumerate(lines) if i not in gone]
 
 
+_PAGES = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("begins", pa.bool_()),
+    ("ends", pa.bool_()), ("host", pa.string()), ("marked", pa.bool_()), ("lines", pa.list_(pa.string())),
+    ("gone", pa.list_(pa.int32())),
+])
+PAGES = (
+    "page_id long, url string, text string, part int, begins boolean, ends boolean, host string, marked boolean,"
+    " lines array<string>, gone array<int>"
+)
+
+
 def _extract(copy_share: float):
+    """Texts of the pages inside a range; the lines of its first and last page."""
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None
         current: tuple | None = None
         held: list[dict] = []
 
         def settle(after: tuple | None) -> dict:
-            page_id, url, host, lines, marked = current
-            if not marked:
-                near = [x[3] for x in (before, after) if x is not None and x[2] == host]
-                lines = differenced(lines, near, copy_share)
-            return {"page_id": page_id, "url": url, "text": "\n".join(lines)}
+            page_id, url, host, part, lines, marked = current
+            near = [x[4] for x in (before, after) if x is not None and x[2] == host]
+            gone = set() if marked else deleted(lines, near, copy_share)
+            row = {"page_id": page_id, "url": url}
+            if before is None or after is None:
+                return row | {
+                    "part": part, "begins": before is None, "ends": after is None, "host": host, "marked": marked,
+                    "lines": lines, "gone": sorted(gone),
+                }
+            return row | {"text": "\n".join(t for i, t in enumerate(lines) if i not in gone)}
 
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
         for batch in batches:
-            rows = zip(*[batch.column(c) for c in ("page_id", "url", "host", "html")])
-            for page_id, url, host, html in rows:
-                row = (page_id.as_py(), url.as_py(), host.as_py(), *blocks_of(html.as_py()))
+            rows = zip(*[batch.column(c) for c in ("page_id", "url", "host", "part", "html")])
+            for page_id, url, host, part, html in rows:
+                row = (page_id.as_py(), url.as_py(), host.as_py(), part.as_py(), *blocks_of(html.as_py()))
                 if current is not None:
                     held.append(settle(row))
                     before = current
                 current = row
                 if len(held) >= 500:
-                    yield pa.RecordBatch.from_pylist(held, schema)
+                    yield pa.RecordBatch.from_pylist(held, _PAGES)
                     held = []
         if current is not None:
             held.append(settle(None))
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield pa.RecordBatch.from_pylist(held, _PAGES)
+
+    return texts
+
+
+def _finish(copy_share: float):
+    """Texts of first and last pages, from the pages of the adjoining ranges."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                near = [x[f"{side}_lines"] for side in ("before", "after")
+                        if x[f"{side}_lines"] is not None and x[f"{side}_host"] == x["host"]]
+                gone = set(x["gone"]) | (set() if x["marked"] else deleted(x["lines"], near, copy_share))
+                out.append("\n".join(t for i, t in enumerate(x["lines"]) if i not in gone))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"]
+            )
 
     return texts
 
@@ -222,8 +267,27 @@ def main_texts(pages: DataFrame, copy_share: float = COPY_SHARE) -> DataFrame:
     order = ["host", "path", "url", "page_id"]
     ranges = (
         placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-        .sortWithinPartitions(*order).drop("path")
+        .sortWithinPartitions(*order).drop("path").withColumn("part", F.spark_partition_id())
+    )
+    found = stored(ranges.mapInArrow(_extract(copy_share), PAGES))
+    edges = found.where("lines is not null")
+    # One number per range that has pages.
+    parts = sorted(r["part"] for r in edges.where("begins").select("part").collect())
+    sides = spark.createDataFrame(
+        list(zip(parts, [None, *parts[:-1]], [*parts[1:], None])), "part int, before int, after int"
     )
-    return ranges.mapInArrow(_extract(copy_share), "page_id long, url string, text string").withColumn(
-        "n_chars", F.length("text").cast("long")
+
+    def side(name: str, flag: str) -> DataFrame:
+        return edges.where(flag).select(
+            F.col("part").alias(name), F.col("host").alias(f"{name}_host"), F.col("lines").alias(f"{name}_lines")
+        )
+
+    waiting = (
+        edges.join(sides, "part").withColumn("before", F.when(F.col("begins"), F.col("before")))
+        .withColumn("after", F.when(F.col("ends"), F.col("after")))
+        .join(side("before", "ends"), "before", "left").join(side("after", "begins"), "after", "left")
     )
+    inner = found.where("lines is null").select("page_id", "url", "text")
+    return inner.unionByName(
+        waiting.mapInArrow(_finish(copy_share), "page_id long, url string, text string")
+    ).withColumn("n_chars", F.length("text").cast("long"))

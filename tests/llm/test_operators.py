@@ -258,6 +258,23 @@ def test_page_texts(spark):
         "first page has these words of its own", "second page has other words instead"}
 
 
+def test_pages_at_range_edges_have_both_neighbours(spark):
+    rows = []
+    for i in range(24):  # every page shares one line with each of its two neighbours, and none with others
+        own = " ".join(prose(700 + i, 20))
+        rows.append((i, f"http://h/{i:02}", PAGE.format(f"<p>line {i}</p><p>{own}</p><p>line {i + 1}</p>"), own))
+    rows.append((99, "http://i/0", PAGE.format("<p>line 24</p><p>alone</p>"), "line 24\nalone"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    want = {r[0]: r[3] for r in rows} | {0: "line 0\n" + rows[0][3], 23: rows[23][3] + "\nline 24"}
+    for n in ("1", "4", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = [(r.page_id, r.text) for r in op2_differencing.main_texts(pages).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(got) == sorted(want.items())
+
+
 def test_lcs_is_longest():
     rng = random.Random(2)
     for _ in range(200):
