@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm import (
     op1_resample, op2_differencing, op3_warc, op4_forest, op5_surrogates, op6_containment, op7_paragraphs,
-    op8_mixture, op9_projected, op10_licenses,
+    op8_mixture, op9_projected, op10_licenses, op13_topk,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,21 @@ def op7_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    with v as (
+      select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+      from embeddings
+      where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    p as (
+      select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+      from v q join v c on q.r <> c.r where q.vec_id % 50 = 0),
+    n as (select *, row_number() over (partition by r order by score desc, vec_id)::int as rank from p)
+    select query_id, rank, vec_id, score from n where rank <= 5
+    """
+)
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_topk.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
