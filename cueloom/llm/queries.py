@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm import (
     op1_resample, op2_differencing, op3_warc, op4_forest, op5_surrogates, op6_containment, op7_paragraphs,
-    op8_mixture, op9_projected, op10_licenses, op13_topk,
+    op8_mixture, op9_projected, op10_licenses, op12_variants, op13_topk,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,46 @@ def op10_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_licenses.license_notices(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """
+    with recursive bits as (select i, i::bigint c, 0 k from range(256) r(i)
+      union all select i, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k + 1 from bits where k < 8),
+    crc as (select list(c order by i) t from bits where k = 8),
+    runs as (
+      select coalesce(doc_id::varchar, '') id,
+             translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run
+      from documents),
+    each as (select id, run, count(*) c from runs where length(run) >= 7 group by all),
+    coded as (
+      select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+          list_transform(range(octet_length(encode(id || ':' || run))),
+                         lambda i: ('0x' || hex(encode(id || ':' || run))[(2 * i + 1)::int : (2 * i + 2)::int])::bigint)),
+          lambda a, b: xor(a // 256, t[(xor(a, b) % 256 + 1)::int]))) h
+      from each, crc),
+    w as (
+      select case when h % 31 = 0 then left(run, (h % length(run))::int) || right(run, (length(run) - h % length(run) - 1)::int) else run end word, sum(c)::bigint n
+      from coded group by 1),
+    v as (select * from w where length(word) >= 7 and n >= 2),
+    gone as (select word, n, i, left(word, i::int) || right(word, (length(word) - i - 1)::int) rest from v, unnest(range(length(word))) u(i)),
+    pairs as (
+      select a.word, b.word near, b.n near_n from gone a join gone b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+      union select g.word, v.word, v.n from gone g join v on v.word = g.rest
+      union select v.word, g.word, g.n from gone g join v on v.word = g.rest),
+    best as (select word, count(*) n_near, max(near_n) most from pairs group by word),
+    named as (
+      select v.word, v.n, coalesce(n_near, 0)::bigint n_near, case when most >= 10 * v.n then most end form_n,
+             case when most >= 10 * v.n then (select min(near) from pairs p where p.word = v.word and p.near_n = most) end form
+      from v left join best using (word)),
+    chain as (select word, form, coalesce(form, word) root from named
+      union all select c.word, m.form, m.form from chain c join named m on m.word = c.root where c.form is not null and m.form is not null),
+    last as (select word, max_by(root, n) root from chain join (select word root, n from named) r using (root) group by word)
+    select word, form, root, n, n_near, form_n from named join last using (word)
+    """
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_variants.variants(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
     with v as (
