@@ -117,10 +117,10 @@ def near_words(counted: DataFrame) -> DataFrame:
         .select(F.col("a.word").alias("x"), F.col("a.n").alias("xn"), F.col("b.word").alias("y"), F.col("b.n").alias("yn"))
         .distinct()
     )
-    both = F.array(F.struct("x", "xn", "y", "yn"), F.struct(F.col("y"), F.col("yn"), F.col("x"), F.col("xn")))
-    return pairs.select(F.explode(both).alias("p")).select(
-        F.col("p.x").alias("word"), F.col("p.xn").alias("n"), F.col("p.y").alias("near"), F.col("p.yn").alias("near_n")
-    )
+    def side(word: str, n: str, near: str, near_n: str) -> Column:
+        return F.struct(F.col(word).alias("word"), F.col(n).alias("n"), F.col(near).alias("near"), F.col(near_n).alias("near_n"))
+
+    return pairs.select(F.explode(F.array(side("x", "xn", "y", "yn"), side("y", "yn", "x", "xn"))).alias("p")).select("p.*")
 
 
 def _first_of_most(word: Column, n: Column) -> Column:
