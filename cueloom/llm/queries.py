@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm import (
     op1_resample, op2_differencing, op3_warc, op4_forest, op5_surrogates, op6_containment, op7_paragraphs,
-    op8_mixture, op9_projected, op10_licenses, op12_variants, op13_topk,
+    op8_mixture, op9_projected, op10_licenses, op11_alignment, op12_variants, op13_topk,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,8 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_topk.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_alignment.agreement(table(spark, sf_dir, "documents"))
