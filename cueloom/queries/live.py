@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from cueloom.operators import words as W
 from cueloom.queries import views as V
-from cueloom.queries.registry import query, with_
+from cueloom.queries.registry import SQL, query, with_
 from cueloom.session import scratch_dir
 from cueloom.streaming import operators as L
-from cueloom.streaming.run import remerge_spans, replay, replay_through
+from cueloom.operators.reconcile import promote_authoritative
+from cueloom.plans.blocks import Ordered, lag, lead, running_max
+from cueloom.streaming import tables as T
+from cueloom.streaming import timed
+from cueloom.streaming.run import replay, replay_through
 from cueloom.streaming.settle import settle
+from cueloom.streaming.settlement import EVENTS, settle_stream
 
 PARTS = 3
 
@@ -37,8 +42,6 @@ def chunk_windows(spark, d):
 
 @query("stream_chunk_windows", with_(V.IV, WINDOWS, select=WINDOW_ROWS))
 def stream_chunk_windows(spark, d):
-    from cueloom.plans.blocks import Ordered, lead, running_max
-
     iv = V.intervals(spark, d)
     decoded = Ordered.of(iv, ["media_id"], ["ordinal"]).scan(
         reach=running_max(F.col("end")), after=lead(F.col("ordinal"))
@@ -115,6 +118,14 @@ def stream_fold_partials(spark, d):
     return L.number_finals(finals).select("media_id", "seq", "start", "end", "text", "id")
 
 
+@query("stream_fold_partials_retained", SQL["stream_fold_partials"])
+def stream_fold_partials_retained(spark, d):
+    """The same finals while texts not heard for a minute leave the state."""
+    timed_events = asr_events(spark, d).withColumn("at", on_the_clock(F.col("start")))
+    finals = live(timed_events, lambda s: L.fold_partials(s.withWatermark("at", "10 seconds"), "at"))
+    return L.number_finals(finals).select("media_id", "seq", "start", "end", "text", "id")
+
+
 @query(
     "stream_current_partial",
     with_(V.IV, ASR, """sp as (select media_id, seq, kind, case when kind = 'partial' then text end as text,
@@ -154,10 +165,44 @@ def stream_dedup_words(spark, d):
     return live(refed_words(spark, d).drop("ordinal"), L.dedup_words_stream)
 
 
-@query("stream_dispatch")
+# A batch ends at the first silence that makes it full-size; if that is too far, at the
+# largest silence in the window before, and without one after twice the target.
+DISPATCH = """sr as (select media_id, ordinal, start - max("end") over (partition by media_id order by ordinal
+      rows between unbounded preceding and 1 preceding) as gap from words),
+  sb as (select media_id, ordinal as r, gap from sr where gap >= 0.8::double),
+  cut as (select media_id, 0 as first, 0 as r, -1 as was from (select distinct media_id from words) union all
+    select media_id, case when next - first <= 80 then next else coalesce(best, first + 80) end, next, first
+    from (select c.media_id, c.first, (select min(b.r) from sb b where b.media_id = c.media_id and b.r >= greatest(c.r, c.first + 40)) as next,
+        (select arg_min(b.r, struct_pack(g := -b.gap, r := b.r)) from sb b where b.media_id = c.media_id and b.r between c.first + 20 and c.first + 40) as best
+      from cut c) where next is not null)"""
+DISPATCHED = "select media_id, was::bigint as first_ordinal, first::bigint - 1 as last_ordinal from cut where first - was >= 40 and was >= 0"
+
+
+def word_arrivals(spark, d):
+    k = F.col("ordinal").cast("long")
+    return V.words(spark, d).select("media_id", k.alias("ordinal"), k.alias("seq"), "start", "end")
+
+
+@query("stream_dispatch", with_(V.WORDS, DISPATCH, select=DISPATCHED, recursive=True))
 def stream_dispatch(spark, d):
-    w = V.words(spark, d).select("media_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("ordinal").cast("long").alias("seq"), "start", "end")
-    return live(w, lambda s: L.dispatch_stream(s, 40))
+    return live(word_arrivals(spark, d), lambda s: L.dispatch_stream(s, 40))
+
+
+@query("stream_dispatch_ledger", with_(V.WORDS, DISPATCH, select=DISPATCHED, recursive=True))
+def stream_dispatch_ledger(spark, d):
+    """Every micro-batch is handed over twice, the second time under a new number as well."""
+    table = T.CellTable(
+        spark, scratch_dir(spark, "ledger"), "media_id long, first_ordinal long, last_ordinal long", ["media_id"])
+    batches = live(word_arrivals(spark, d), lambda s: L.dispatch_stream(s, 40))
+    keys = ["media_id", "first_ordinal", "last_ordinal"]
+
+    def land(batch, number):
+        for again in (number, number, number + 1000):
+            table.append_once(batch, again, keys)
+
+    rows = batches.withColumn("seq", F.col("first_ordinal"))
+    state = scratch_dir(spark, "state")
+    return replay(*steps(rows), lambda s: (T.drain_into(s.drop("seq"), land, state), table.read())[1])
 
 
 @query("dispatch_once")
@@ -178,6 +223,58 @@ def stream_forced_flush(spark, d):
     return live(rows, L.forced_flush)
 
 
+def on_the_clock(start):
+    """A row's arrival: the wall clock of its start."""
+    return F.timestamp_millis(F.lit(1704067200000) + F.round(start * 1000).cast("long"))
+
+
+FLUSH = """ff as (select media_id, row_number() over (partition by media_id order by ordinal) as k, ordinal % 6 = 0 as durable, start, "end",
+      1704067200000 + round(start * 1000)::bigint as ms from iv),
+  fl as (select media_id, k, start as floor, start as sent, 0::bigint as due, null::double as timer, null::bigint as timed, null::double as filled, null::bigint as hit
+      from (select media_id, 0 as k, start from ff where k = 1) union all
+    select media_id, k, case when durable then greatest(floor1, "end") when hits then reach else floor1 end, case when durable then sent else reach end,
+      case when durable then case when sent > greatest(floor1, "end") then ms + 25000 else 0 end
+           when hits then 0 when reach > floor1 and due1 = 0 then ms + 25000 else due1 end,
+      case when fires then sent end, case when fires then due end, case when hits and not durable then reach end, case when hits and not durable then ms end
+    from (select *, greatest(sent, "end") as reach, greatest(sent, "end") - floor1 >= 25 as hits
+      from (select f.media_id, f.k, f.durable, f."end", f.ms, r.sent, r.due, r.due > 0 and r.due <= f.ms as fires,
+          case when r.due > 0 and r.due <= f.ms then r.sent else r.floor end as floor1,
+          case when r.due > 0 and r.due <= f.ms then 0 else r.due end as due1
+        from fl r join ff f on f.media_id = r.media_id and f.k = r.k + 1))),
+  fe as (select * from fl qualify k = max(k) over (partition by media_id))"""
+
+
+@query(
+    "stream_flush_by_timer",
+    with_(V.IV, FLUSH, recursive=True, select="""select media_id, timer as commit_at, 'timer' as cause, timed as at_ms from fl where timed is not null
+      union all select media_id, filled, 'sent', hit from fl where hit is not null
+      union all select media_id, sent, 'timer', due from fe where due > 0 and due < (select max(ms) from ff)"""),
+)
+def stream_flush_by_timer(spark, d):
+    k = F.col("ordinal")
+    rows = V.intervals(spark, d).select(
+        "media_id", k.alias("seq"), F.when(k % 6 == 0, "durable").otherwise("sent").alias("kind"), "start", "end",
+        on_the_clock(F.col("start")).alias("at"),
+    )
+    return live(rows, lambda s: timed.flush_by_timer(s.withWatermark("at", "0 seconds"), "at"))
+
+
+@query("stream_windowed_chunks", with_(V.IV, WINDOWS, select=WINDOW_ROWS))
+def stream_windowed_chunks(spark, d):
+    """Recordings that began some seconds apart; one tick of the clock comes last."""
+    iv = V.intervals(spark, d)
+    reach = Ordered.of(iv, ["media_id"], ["ordinal"]).scan(reach=running_max(F.col("end")))
+    rows = reach.scan(begin=lag(F.col("reach"))).rows
+    began = F.timestamp_millis(F.lit(1704067200000) + F.col("media_id") * 7000)
+    decoded = rows.where("begin is null or reach > begin").select(
+        "media_id", F.col("ordinal").alias("seq"), F.coalesce("begin", F.lit(0.0)).alias("begin"), F.col("reach").alias("end"), began.alias("began")
+    )
+    tick = decoded.agg((F.max("seq") + 1).alias("seq"), (F.max("end") + 4000).alias("end")).select(
+        F.lit(None).cast("long").alias("media_id"), "seq", F.col("end").alias("begin"), "end", F.timestamp_millis(F.lit(1704067200000)).alias("began")
+    )
+    return live(decoded.unionByName(tick), lambda s: timed.windowed_chunks(s, delay=3600))
+
+
 @query(
     "retained_buffer",
     with_(V.IV, """m as (select media_id, max("end") filter (ordinal % 2 = 0) as du, max("end") as fe from iv group by media_id)""",
@@ -207,8 +304,14 @@ def stream_late_spans(spark, d):
     spans = V.intervals(spark, d).where("event_type in ('click', 'purchase')").select(
         "media_id", "start", "end", (F.col("ordinal") * 7919 % 1000).alias("seq")
     )
-    table, state = scratch_dir(spark, "spans"), scratch_dir(spark, "state")
-    return replay(*steps(spans), lambda s: remerge_spans(s, 0.04, table, state))
+    table = T.CellTable(spark, scratch_dir(spark, "spans"), T.PIECES, ["media_id", "cell"])
+    state = scratch_dir(spark, "state")
+
+    def merged(stream):
+        T.drain_into(stream, T.remerge_touched(table, 0.04), state)
+        return T.merged_spans(table, 0.04)
+
+    return replay(*steps(spans), merged)
 
 
 SETTLE = """landed as (select *, 'w' || first_word || '-' || last_word as wid, ordinal as land from cues where ordinal % 40 <> 33),
@@ -245,3 +348,82 @@ def settle_final_ids(spark, d):
     words = V.words(spark, d)
     closed = words.where("media_id <> 1").select("media_id").distinct()
     return settle(named, cuts, words, closed)
+
+
+def settlement_rows(spark, d):
+    """What a live recording brings: words, cuts announced, cues landing three later, a few
+    cues much later, repairs that replace the cue before a forced cut, and the end."""
+    unit, k = 100_000, F.col("ordinal")
+    types = dict(x.split() for x in EVENTS.split(", "))
+
+    def event(df, kind, seq, **columns):
+        blank = {c: F.lit(None).cast(t) for c, t in types.items() if c not in ("media_id", "seq", "kind")}
+        chosen = {**blank, **columns, "kind": F.lit(kind), "seq": seq.cast("long")}
+        return df.select("media_id", *[chosen[c].cast(t).alias(c) for c, t in types.items() if c != "media_id"])
+
+    cues = V.cues(spark, d)
+    wid = F.concat(F.lit("w"), F.col("first_word").cast("string"), F.lit("-"), F.col("last_word").cast("string"))
+    whole = {c: F.col(c) for c in ("start", "end", "speaker", "first_word", "last_word")}
+    spoken = V.words(spark, d).select("media_id", F.col("ordinal").alias("word"), F.col("start").alias("at")).join(
+        cues.select("media_id", "ordinal", F.explode(F.sequence("first_word", "last_word")).alias("word"), "first_word"), ["media_id", "word"])
+    cuts = cues.where(k % 5 == 4)
+    open_cut = (F.col("media_id") == 1) & (k % 100 == 99)
+    repaired = cuts.where((k % 25 == 24) & ~open_cut)
+    parts = [
+        event(spoken, "word", k * unit + F.col("word") - F.col("first_word"), first_word=F.col("word"), start=F.col("at")),
+        event(cuts, "junction", k * unit + unit - 4, first_word=F.col("last_word"), forced=k % 25 == 24),
+        event(cues, "cue", (k + F.when(k % 40 == 33, 60).otherwise(3)) * unit + unit - 3, id=wid, **whole),
+        event(repaired, "removed", (k + 9) * unit + unit - 3 + 1, id=wid),
+        event(repaired, "cue", (k + 9) * unit + unit - 1, id=F.concat(F.lit("r"), wid), **whole),
+        event(cuts.where(~open_cut), "resolved", (k + 70) * unit, first_word=F.col("last_word")),
+        event(cues.where("media_id <> 1").groupBy("media_id").agg(F.max("ordinal").alias("ordinal")), "closed", (k + 80) * unit),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+LIVE_SETTLE = SETTLE.replace(
+    """landed as (select *, 'w' || first_word || '-' || last_word as wid, ordinal as land from cues where ordinal % 40 <> 33)""",
+    """landed as (select *, case when ordinal % 25 = 24 and not (media_id = 1 and ordinal % 100 = 99) then 'r' else '' end
+      || 'w' || first_word || '-' || last_word as wid, ordinal as land from cues)""",
+).replace(
+    """ju as (select media_id, last_word as ordinal, land % 31 = 30 as forced from landed where land % 5 = 4)""",
+    """ju as (select media_id, last_word as ordinal, true as forced from landed where media_id = 1 and land % 100 = 99)""",
+)
+
+
+@query(
+    "stream_settle",
+    with_(V.WORDS, V.TURNS, LIVE_SETTLE, select="""select media_id, 'settled' as kind, wid as id, rank::varchar as final_id from rk left join st using (media_id) where stop is null or rank < stop"""),
+)
+def stream_settle(spark, d):
+    return live(settlement_rows(spark, d), settle_stream).select("media_id", "kind", "id", "final_id")
+
+
+@query(
+    "live_promoted",
+    with_(V.WORDS, V.TURNS, """pt as (select *, floor(ordinal / (select max(ordinal) + 1 from cues) * 3) as part from cues)""",
+          select="""select media_id, id, row_number() over (partition by media_id order by ordinal) - 1 as ordinal, start, source, false as provisional
+      from cues where media_id <> 1 and ordinal % 3 <> 1
+      union all select media_id, id, ordinal, start, source, true from cues where media_id = 1"""),
+)
+def live_promoted(spark, d):
+    """Two recordings get their final pass while the stream still adds live cues to all three."""
+    columns = ["media_id", "id", "ordinal", "start", "end", "source", "translated", "speaker", "stable"]
+    cues = V.cues(spark, d).select(*columns).withColumn("ordinal", F.col("ordinal").cast("long"))
+    rows = cues.withColumns({"seq": F.col("ordinal"), "provisional": F.lit(True)})
+    table = T.CellTable(spark, scratch_dir(spark, "live"), rows.drop("seq").schema, ["media_id"])
+    final = cues.where("media_id <> 1 and ordinal % 3 <> 1").withColumn("seq", F.col("ordinal"))
+    state, turns = scratch_dir(spark, "state"), []
+
+    def consume(stream):
+        T.drain_into(stream.drop("seq"), lambda b, n: table.append_once(b, n, ["media_id", "id"]), state)
+        turns.append(1)
+        if len(turns) == 2:
+            T.settle_recordings(table, final, 0, promote_authoritative)
+        return table.read()
+
+    return replay(*steps(rows), consume).where("stable or provisional").select(
+        "media_id", "id", "ordinal", "start", "source", "provisional")

@@ -129,28 +129,33 @@ def dedup_words_stream(
     )
 
 
-def fold_partials(events: DataFrame) -> DataFrame:
+def fold_partials(events: DataFrame, clock: str | None = None, keep: float = CAP_SECONDS) -> DataFrame:
     """Finals that repeat nothing kept, and the changing partial.
 
     ``events``: media_id, seq, kind (partial, final, closed, error, nomatch), start, end, text.
     Emits kind final (never taken back), partial (replaces the one before; NULL text clears
     it) and ended. Equal texts interact only with each other, so the kept starts are state
-    of (recording, text); the partial is state of the recording.
+    of (recording, text); the partial is state of the recording. With
+    ``clock`` (see ``fold_stream``) a text not heard for ``keep`` seconds is forgotten, and so
+    are starts more than ``CAP_SECONDS`` before its last one: audio that old is not fed again.
     """
     spoken = events.where("kind in ('partial', 'final') and coalesce(text, '') <> ''")
     keyed = spoken.where("kind = 'final'").withColumn("key", norm_key_a(F.col("text")))
 
-    def keep(starts, row):
+    def judge(starts, row):
         starts = starts or []
         at = bisect_left(starts, row["start"] - DUPLICATE_SECONDS)
         if at < len(starts) and starts[at] <= row["start"] + DUPLICATE_SECONDS:
             return starts, []
         insort(starts, row["start"])
+        if clock is not None:
+            starts = starts[bisect_left(starts, starts[-1] - CAP_SECONDS):]
         return starts, [{"seq": row["seq"], "kind": "final", "start": row["start"], "end": row["end"], "text": row["text"]}]
 
     return fold_stream(
-        keyed, ["media_id", "key"], ["seq"], keep,
+        keyed, ["media_id", "key"], ["seq"], judge,
         "media_id long, key string, seq long, kind string, start double, end double, text string",
+        clock, keep,
     ).drop("key")
 
 
@@ -178,14 +183,17 @@ def number_finals(finals: DataFrame) -> DataFrame:
     return placed.rows.withColumn("id", F.col("n").cast("string")).drop("n")
 
 
-def emit_deltas(cues: DataFrame, changed: bool = False) -> DataFrame:
+def emit_deltas(
+    cues: DataFrame, changed: bool = False, clock: str | None = None, keep: float = CAP_SECONDS
+) -> DataFrame:
     """Only cues not emitted before, or also cues whose content changed.
 
     ``cues``: media_id, id, seq, and the content. State is per cue, so a long recording
-    spreads over the cluster.
+    spreads over the cluster. With ``clock`` (see ``fold_stream``; not part of the content) a
+    cue not sent for ``keep`` seconds is forgotten: its timeline has moved on.
     """
     types = {f.name: f.dataType.simpleString() for f in cues.schema.fields}
-    rest = [c for c in cues.columns if c not in ("media_id", "id")]
+    rest = [c for c in cues.columns if c not in ("media_id", "id", clock)]
     content = [c for c in rest if c != "seq"]
 
     def step(known, row):
@@ -195,7 +203,7 @@ def emit_deltas(cues: DataFrame, changed: bool = False) -> DataFrame:
         return now, [{c: row[c] for c in rest}]
 
     schema = ", ".join(f"{c} {types[c]}" for c in ["media_id", "id", *rest])
-    return fold_stream(cues, ["media_id", "id"], ["seq"], step, schema)
+    return fold_stream(cues, ["media_id", "id"], ["seq"], step, schema, clock, keep)
 
 
 def dispatch_stream(words: DataFrame, target: int) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.operators.intervals import coalesce_intervals
 from cueloom.session import materialize, scratch_dir
+from cueloom.streaming.state import ROCKSDB
 
 
 def arrivals(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -16,17 +16,30 @@ def arrivals(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Run a stream over everything available; returns all it has appended to ``out``."""
-    (
+def drain(stream: DataFrame, out: str, checkpoint: str, state_rows: list[int] | None = None) -> DataFrame:
+    """Run a stream over everything available; returns all it has appended to ``out``.
+
+    ``state_rows`` receives the rows held in state after each micro-batch. States with
+    several variables and timers need the RocksDB store: the session's choice is put back
+    after the start.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    chosen = conf.get(name)
+    conf.set(name, ROCKSDB)
+    query = (
         stream.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
+    try:
+        query.awaitTermination()
+    finally:
+        conf.set(name, chosen)
+    if state_rows is not None:
+        state_rows += [sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress]
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -53,26 +66,3 @@ def replay_through(rows: DataFrame, part: Column, parts: int, operator) -> DataF
     """What the streaming ``operator`` appends for ``rows`` arriving in steps."""
     out, state = scratch_dir(rows.sparkSession, "out"), scratch_dir(rows.sparkSession, "state")
     return replay(rows, part, parts, lambda stream: drain(operator(stream), out, state))
-
-
-def remerge_spans(stream: DataFrame, tolerance: float, table: str, checkpoint: str) -> DataFrame:
-    """Late and out-of-order speech spans: keep the raw spans, merge them anew per key.
-
-    Each micro-batch lands under its own batch number, so a batch that is run again after a
-    failure replaces itself.
-    """
-    spark = stream.sparkSession
-    schema = stream.schema
-
-    def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    (
-        stream.writeStream.foreachBatch(land)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(table)
-    return coalesce_intervals(raw, tolerance)
