@@ -16,7 +16,8 @@ before it is shuffled. Keys of hot texts are joined under adaptive skew handling
 Defined results: null stays null, empty stays empty. Documents that repeat are treated
 alike. A text loses the noncharacter U+FDD0, which marks places inside the plan. Kinds
 that share digits are tried in the order of ``KINDS``. The given table's other columns
-are unchanged, but for ``n_chars``, which follows the text.
+are unchanged, but for ``n_chars``, which follows the text; a column ``__replaced`` of the
+given table is replaced.
 """
 
 from __future__ import annotations
@@ -37,12 +38,20 @@ _TITLES = {t for title in MALE + FEMALE + NEUTRAL for t in (title, title.upper()
 _TITLE = "|".join(sorted(_TITLES, key=lambda t: (-len(t), t)))
 _NAME = r"\p{Lu}[\p{L}'\-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+# What stands before a secret: the name of a key and its sign, or the head of a request.
+_SECRET = (
+    r"""(?i:password|passwd|pwd|secret|token|api[_\- ]?key)[A-Za-z_\-]{0,24}\s{0,3}[=:]\s{0,3}["']?"""
+    r"|(?i:authorization\s{0,3}:\s{0,3}bearer)\s{1,3}"
+)
 KINDS = {
-    "secret": r"""(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_\-]{8,}""",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
+    "secret": rf"""(?:{_SECRET})[^\s"'<>,;]{{7,}}[A-Za-z0-9+/=_\-]""",
+    # A host name has 127 labels at most; an unbounded group would recurse once a label.
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++){1,126}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "access": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "ip6": r"(?<![\w:])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+           r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?::|(?:[0-9A-Fa-f]{1,4}:){1,7}):[0-9A-Fa-f]{0,4})(?![\w:])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "card": r"(?<![\d+])\d(?:[ \-]?\d){12,18}(?!\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4})(?!\d)",
@@ -85,29 +94,37 @@ def _number(h: Column, i: Column) -> Column:
 
 
 def _chars(value: Column, change) -> Column:
-    n = F.length(value)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: change(F.substr(value, i, F.lit(1)), i))
-    return F.when(n == 0, value).otherwise(F.array_join(each, ""))
+    # Split once: looking up each place of a long value anew would take its length squared.
+    each = F.transform(F.split(value, ""), lambda c, i: change(c, i + 1))
+    return F.when(F.length(value) == 0, value).otherwise(F.array_join(each, ""))
 
 
 def _letter(alphabet: str, n: Column) -> Column:
     return F.substr(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))) + 1, F.lit(1))
 
 
+def _let(build, **values: Column) -> Column:
+    """``build`` of the values, each worked out once and not again for every character."""
+    held = F.array(F.struct(*[v.alias(n) for n, v in values.items()]))
+    return F.element_at(F.transform(held, lambda s: build(*[s[n] for n in values])), 1)
+
+
 def shaped(value: Column, h: Column) -> Column:
     """Every digit and letter replaced by one of its class; the rest stays."""
-    hexadecimal = value.rlike("^[0-9a-f]+$")
 
-    def change(c: Column, i: Column) -> Column:
-        n = _number(h, i) + F.floor(i / 64).cast("int")
-        return (
-            F.when(c.rlike("[0-9]"), _letter("0123456789", n))
-            .when(c.rlike("[a-z]"), F.when(hexadecimal, _letter("abcdef", n)).otherwise(_letter("abcdefghijklmnopqrstuvwxyz", n)))
-            .when(c.rlike("[A-Z]"), _letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
-            .otherwise(c)
-        )
+    def spelled(value: Column, h: Column, hexadecimal: Column) -> Column:
+        def change(c: Column, i: Column) -> Column:
+            n = _number(h, i) + F.floor(i / 64).cast("int")
+            return (
+                F.when(c.rlike("[0-9]"), _letter("0123456789", n))
+                .when(c.rlike("[a-z]"), F.when(hexadecimal, _letter("abcdef", n)).otherwise(_letter("abcdefghijklmnopqrstuvwxyz", n)))
+                .when(c.rlike("[A-Z]"), _letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
+                .otherwise(c)
+            )
 
-    return _chars(value, change)
+        return _chars(value, change)
+
+    return _let(spelled, value=value, h=h, hexadecimal=value.rlike("^[0-9a-f]+$"))
 
 
 def _luhn(digits: Column, odd: int) -> Column:
@@ -132,6 +149,10 @@ def _ip(h: Column) -> Column:
     return F.concat_ws(".", *[(F.pmod(_number(h, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
 
 
+def _hexadecimal(value: Column, h: Column) -> Column:
+    return _chars(value, lambda c, i: F.when(c.rlike("[0-9A-Fa-f]"), _letter("0123456789abcdef", _number(h, i))).otherwise(c))
+
+
 def _email(canon: Column, h: Column, domain_hash: Column) -> Column:
     local = F.substring_index(canon, "@", 1)
     domain = F.substring_index(canon, "@", -1)
@@ -168,14 +189,19 @@ def _family(h: Column, attempt: Column) -> Column:
 def surrogate(key: str) -> Column:
     """The canonical surrogate of columns kind, script, canon and attempt."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
-    h = _hash(F.lit(key), kind, canon, attempt.cast("string"))
-    of_domain = _hash(F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1), F.lit("0"))
-    return (
-        F.when(kind == "email", _email(canon, h, of_domain))
-        .when(kind == "ip", _ip(h)).when(kind == "card", _card(canon, h))
-        .when(kind == "given_m", _given("m", h, attempt)).when(kind == "given_f", _given("f", h, attempt))
-        .when(kind == "given_n", _given("n", h, attempt)).when(kind == "family", _family(h, attempt))
-        .otherwise(shaped(canon, h))
+
+    def drawn(h: Column, of_domain: Column) -> Column:
+        return (
+            F.when(kind == "email", _email(canon, h, of_domain))
+            .when(kind == "ip", _ip(h)).when(kind == "ip6", _hexadecimal(canon, h)).when(kind == "card", _card(canon, h))
+            .when(kind == "given_m", _given("m", h, attempt)).when(kind == "given_f", _given("f", h, attempt))
+            .when(kind == "given_n", _given("n", h, attempt)).when(kind == "family", _family(h, attempt))
+            .otherwise(shaped(canon, h))
+        )
+
+    return _let(
+        drawn, h=_hash(F.lit(key), kind, canon, attempt.cast("string")),
+        of_domain=_hash(F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1), F.lit("0")),
     )
 
 
@@ -183,19 +209,22 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, script, canon, surrogate) with distinct surrogates that no entity has."""
     spark = entities.sparkSession
     real = stored(entities.select("kind", "script", "canon").distinct())
-    drawn = real.withColumn("attempt", F.lit(0))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows, each of much work: they are spread whatever their size.
+    drawn = real.repartition(parts, "kind", "canon").withColumns({
+        "attempt": F.lit(0), "bad": F.lit(True), "surrogate": F.lit("")})
     same = Window.partitionBy("kind", "folded").orderBy("attempt", "canon", "script")
     for _ in range(ROUNDS):
-        drawn = stored(drawn.withColumn("surrogate", surrogate(key)))
+        drawn = stored(drawn.withColumn("surrogate", F.when(F.col("bad"), surrogate(key)).otherwise(F.col("surrogate"))))
         taken = real.select("kind", F.lower("canon").alias("folded"), F.lit(True).alias("real")).distinct()
         checked = (
-            drawn.withColumn("folded", F.lower("surrogate")).join(taken, ["kind", "folded"], "left")
+            drawn.drop("bad").withColumn("folded", F.lower("surrogate")).join(taken, ["kind", "folded"], "left")
             .withColumn("bad", F.col("real").isNotNull() | (F.row_number().over(same) > 1))
         )
         if checked.where("bad").isEmpty():
             return drawn.select("kind", "script", "canon", "surrogate")
         drawn = checked.select(
-            "kind", "script", "canon", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt")
+            "kind", "script", "canon", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad", "surrogate"
         )
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds on {spark.sparkContext.appName}")
 
@@ -211,7 +240,7 @@ def parts_of(mentions: DataFrame) -> DataFrame:
     """Mentions cut into (at, kind, script, canon, lead, raw); lead is kept as it is."""
     m, kind = F.col("mention"), F.col("whole")
     lead = (
-        F.when(kind == "secret", F.regexp_extract(m, r"""^(?i:[a-z_\-]+)\s*[=:]\s*["']?""", 0))
+        F.when(kind == "secret", F.regexp_extract(m, f"^(?:{_SECRET})", 0))
         .when(kind == "access", F.lit("AKIA"))
         .when(kind == "iban", F.substring(m, 1, 2))
         .when(kind == "phone", F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0))
@@ -237,7 +266,7 @@ def parts_of(mentions: DataFrame) -> DataFrame:
     canon = (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, r"\D", ""))
         .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
-        .when(kind.isin("email", "name"), F.lower(raw)).otherwise(raw)
+        .when(kind.isin("email", "ip6", "name"), F.lower(raw)).otherwise(raw)
     )
     script = (
         F.when(kind != "name", F.lit("")).when(raw.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic"))
@@ -280,19 +309,23 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         docs.select(F.md5("text").alias("digest"), F.explode(found).alias("mention")).distinct()
     )
     written = replaced_mentions(held.select("mention").distinct(), key)
-    maps = held.join(written, "mention").groupBy("digest").agg(
-        F.map_from_entries(F.collect_list(F.struct("mention", "written"))).alias("__map")
-    ).withColumnRenamed("digest", "__of")
+    free = "__"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    digest, of, known, cut = (free + c for c in ("digest", "of", "map", "pieces"))
+    maps = held.join(written, "mention").groupBy(F.col("digest").alias(of)).agg(
+        F.map_from_entries(F.collect_list(F.struct("mention", "written"))).alias(known)
+    )
     pieces = F.split(F.regexp_replace("text", PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
-    joined = docs.withColumn("__digest", F.md5("text")).join(maps, F.col("__digest") == F.col("__of"), "left")
-    new = F.transform("__pieces", lambda x: F.coalesce(F.try_element_at("__map", x), x))
-    changed = F.col("__map").isNotNull()
+    joined = docs.withColumn(digest, F.md5("text")).join(maps, F.col(digest) == F.col(of), "left")
+    new = F.transform(cut, lambda x: F.coalesce(F.try_element_at(known, x), x))
+    changed = F.col(known).isNotNull()
     out = (
-        joined.withColumn("__pieces", F.when(changed, pieces))
+        joined.withColumn(cut, F.when(changed, pieces))
         .withColumn("text", F.when(changed, F.array_join(new, "")).otherwise(F.col("text")))
-        .withColumn("__replaced", F.when(changed, F.floor(F.size("__pieces") / 2)).otherwise(F.lit(0)).cast("int"))
+        .withColumn("__replaced", F.when(changed, F.floor(F.size(cut) / 2)).otherwise(F.lit(0)).cast("int"))
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "__replaced")
+    return out.select(*[c for c in docs.columns if c != "__replaced"], "__replaced")
