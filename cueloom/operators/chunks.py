@@ -285,7 +285,8 @@ def detected_language(chunk_lang: DataFrame) -> DataFrame:
 def resume_plan(inputs: DataFrame, manifest: DataFrame, plan: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks still to do per recording, or why a stored plan cannot be resumed.
 
-    ``inputs``/``manifest``: media_id, request, sha256, frames, rate, width.
+    ``inputs``/``manifest``: media_id, request, sha256, frames, rate, width (the last four
+    from ``sources.pcm.fingerprints``).
     """
     audio = ["sha256", "frames", "rate", "width"]
     both = inputs.alias("i").join(manifest.alias("m"), "media_id", "left")
@@ -311,14 +312,3 @@ def resume_plan(inputs: DataFrame, manifest: DataFrame, plan: DataFrame, done: D
         .otherwise(F.lit(0))
         .alias("chunks_to_do"),
     )
-
-
-def fingerprints(files: DataFrame, rate: int, width: int) -> DataFrame:
-    """Content identity of PCM payloads read with ``binaryFile``."""
-    return files.select(
-        F.col("path").alias("media_id"),
-        F.sha2("content", 256).alias("sha256"),
-        F.floor(F.col("length") / width).alias("frames"),
-        F.lit(rate).alias("rate"),
-        F.lit(width).alias("width"),
-    )

@@ -10,6 +10,8 @@ from cueloom.operators import intervals as I
 from cueloom.operators import words as W
 from cueloom.queries import views as V
 from cueloom.queries.registry import query, with_
+from cueloom.session import scratch_dir
+from cueloom.sources import pcm
 from cueloom.sources.signals import rms_levels, slice_signal
 
 WIDE = wide_ranges()
@@ -87,6 +89,13 @@ def levels(spark, d):
     return rms_levels(V.samples(spark, d))
 
 
+@query("pcm_file_levels", with_(V.SAMPLES, select="select media_id::varchar as media_id, win, rms from levels"))
+def pcm_file_levels(spark, d):
+    """The samples written to PCM files, and read back in ranges that cut windows apart."""
+    parts = pcm.write_pcm(V.samples(spark, d), scratch_dir(spark, "pcm"), 100)
+    return pcm.pcm_levels(parts, range_bytes=2 * 777)
+
+
 @query(
     "slice_signal",
     with_(V.SAMPLES, select="""select media_id, i, sample, rate from samples

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +22,3 @@ def slice_signal(samples: DataFrame, start: float, end: float) -> DataFrame:
     first = F.greatest(F.lit(0.0), F.rint(F.lit(start) * F.col("rate")))
     last = F.rint(F.lit(end) * F.col("rate"))
     return samples.where((F.col("i") >= first) & (F.col("i") < last))
-
-
-def pcm_levels(files: DataFrame, rate: int, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """Levels of headerless mono 16-bit files read with ``binaryFile``, in Arrow batches."""
-    window = max(1, int(rate * window_seconds))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                x = np.frombuffer(content[: len(content) // 2 * 2], dtype="<i2").astype(float)
-                n = -(-len(x) // window)
-                sums = np.add.reduceat(x * x, np.arange(0, len(x), window)) if n else []
-                sizes = [min(window, len(x) - k * window) for k in range(n)]
-                yield pd.DataFrame({
-                    "media_id": path, "win": range(n), "rms": [float(np.sqrt(s / c)) for s, c in zip(sums, sizes)],
-                })
-
-    return files.select("path", "content").mapInPandas(run, "media_id string, win long, rms double")
