@@ -610,11 +610,51 @@ def word_batches(spark, d):
     return items, words.select("media_id", "batch", "ordinal", "start", "end", "text", "speaker")
 
 
-@query("validated_word_cues")
+# Claims of one reply in order: one that meets an earlier kept claim of its speaker is dropped.
+CLAIMS = """bw as (select *, ordinal // 40 as batch from words),
+  bh as (select media_id, batch, min(ordinal) as lo, max(ordinal) as hi from bw group by media_id, batch),
+  bi as (select *, unnest(range((hi - lo) // 8 + 1)) as pos from bh),
+  ci as (select media_id, batch, pos, (lo + pos * 8)::int as first_word,
+      (case when batch % 5 = 1 and pos = 1 then least(hi, lo + pos * 8 + 7) + 3 when batch % 5 = 2 and pos = 0 then hi + 50
+        else least(hi, lo + pos * 8 + 7) end)::int as last_word, case when batch % 5 = 3 and pos = 2 then '' else 'words' end as translated from bi),
+  cl as (select c.*, 'cue ' || c.first_word || '–' || c.last_word as label, a.speaker as speaker,
+      case when a.ordinal is null or z.ordinal is null then ' references words outside this batch'
+           when c.last_word < c.first_word then ' ends before it starts'
+           when a.speaker is distinct from z.speaker then ' starts and ends with different speakers' end as fault
+    from ci c left join bw a on a.media_id = c.media_id and a.batch = c.batch and a.ordinal = c.first_word
+      left join bw z on z.media_id = c.media_id and z.batch = c.batch and z.ordinal = c.last_word),
+  so as (select *, row_number() over (partition by media_id, batch, speaker order by pos) as k from cl where fault is null),
+  fo as (select media_id, batch, speaker, k, pos, true as ok, [{f: first_word, l: last_word}] as kept from so where k = 1 union all
+    select s.media_id, s.batch, s.speaker, s.k, s.pos, len(list_filter(f.kept, lambda y: y.f <= s.last_word and s.first_word <= y.l)) = 0,
+      case when len(list_filter(f.kept, lambda y: y.f <= s.last_word and s.first_word <= y.l)) = 0
+        then list_append(f.kept, {f: s.first_word, l: s.last_word}) else f.kept end
+    from fo f join so s on s.media_id = f.media_id and s.batch = f.batch and s.speaker is not distinct from f.speaker and s.k = f.k + 1),
+  ok as (select so.*, fo.ok from so join fo on fo.media_id = so.media_id and fo.batch = so.batch and fo.speaker is not distinct from so.speaker and fo.k = so.k),
+  cw as (select o.media_id, o.batch, o.pos, w.ordinal, w.start, w."end" from ok o join bw w on w.media_id = o.media_id and w.batch = o.batch
+    and w.ordinal between o.first_word and o.last_word and w.speaker is not distinct from o.speaker where o.ok),
+  sp as (select distinct media_id, batch, coalesce(speaker, '') as s, speaker is null as u from ok where ok),
+  un as (select w.media_id, w.batch, coalesce(w.speaker, '') as s, w.speaker is null as u, list(w.ordinal order by w.ordinal) as o
+    from bw w left join cw on cw.media_id = w.media_id and cw.batch = w.batch and cw.ordinal = w.ordinal where cw.ordinal is null group by all),
+  er as (select media_id, batch, pos, label || fault as message from cl where fault is not null
+    union all select media_id, batch, pos, label || ' claims words already covered by another cue of its speaker' from ok where not ok
+    union all select media_id, batch, pos, label || ' has an empty translation' from ok where ok and translated = ''
+    union all select media_id, batch, null, 'words of speaker ' || case when u then 'None' else s end || ' are not covered by any cue: '
+        || array_to_string(o[1:10], ', ') from un semi join sp using (media_id, batch, s, u)
+    union all select media_id, batch, null, 'no cue covers any words of speaker ' || s from
+      (select distinct media_id, batch, coalesce(speaker, '') as s, speaker is null as u from bw) anti join sp using (media_id, batch, s, u))"""
+
+
+@query(
+    "validated_word_cues",
+    with_(V.WORDS, CLAIMS, recursive=True, select="""select o.media_id, o.batch, o.pos, 'w' || first_word || '-' || last_word as id, min_by(start, ordinal) as start,
+        greatest(min_by(start, ordinal), max("end")) as "end", 'text ' || first_word as source, translated, speaker, first_word, last_word
+      from ok o join cw using (media_id, batch, pos) anti join er using (media_id, batch) where o.ok
+      group by o.media_id, o.batch, o.pos, first_word, last_word, translated, speaker"""),
+)
 def validated_word_cues(spark, d):
     return B.validate_responses(*word_batches(spark, d))[0]
 
 
-@query("word_response_errors")
+@query("word_response_errors", with_(V.WORDS, CLAIMS, recursive=True, select="select * from er"))
 def word_response_errors(spark, d):
     return B.validate_responses(*word_batches(spark, d))[1]
