@@ -279,20 +279,68 @@ def chunked_words(spark, d):
     return plan, rows
 
 
-@query("match_overlap_words")
+# The chunks of ``chunked_words``, its words in absolute time, and their matches.
+CHUNKED = """du as (select media_id, max("end") as d, floor(max("end") * 100)::bigint as frames from words group by media_id),
+  ck as (select media_id, frames, unnest(range(case when frames <= 5999 then 1 else (frames - 5999 + 3498) // 3499 + 1 end)) as chunk from du),
+  ct as (select *, lag(c_end) over w as prev_end, lead(c_start) over w as next_start from (select media_id, chunk, (chunk * 3499) / 100.0::double as c_start,
+      least(frames, chunk * 3499 + 5999) / 100.0::double as c_end from ck) window w as (partition by media_id order by chunk)),
+  cx as (select *, unnest(range(greatest(0, ceil((start - 59.99::double) / 34.99::double)::bigint), floor(start / 34.99::double)::bigint + 1)) as chunk from words),
+  cr as (select media_id, chunk, ordinal::bigint as pos, text, c_start, c_end, prev_end, next_start,
+      round((start - chunk * 34.99::double + chunk % 3 * 0.05::double) * 1000) / 1000 + c_start as start,
+      round(("end" - chunk * 34.99::double + chunk % 3 * 0.05::double) * 1000) / 1000 + c_start as "end",
+      case when speaker is not null then 's' || ((ascii(speaker[1]) + chunk) % 26) end as speaker
+    from cx join ct using (media_id, chunk) where (ordinal + chunk * 5) % 9 <> 0),
+  cy as (select *, regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[^\\p{L}\\p{N}]', '', 'g') as key from cr),
+  mr as (select media_id, chunk as k, key, start, "end", count(*) as n, min(pos) as pos from cy
+    where key <> '' and c_start < prev_end and "end" >= c_start and start <= prev_end group by all),
+  ml as (select media_id, chunk + 1 as k, key, start, "end", count(*) as n, min(pos) as pos from cy
+    where key <> '' and next_start < c_end and "end" >= next_start and start <= c_end group by all),
+  mp as (select r.media_id, r.k as chunk, r.pos, l.pos as prev_pos, r.n as rn, l.n as ln, abs(l.start - r.start) + abs(l."end" - r."end") as d
+    from ml l join mr r on l.media_id = r.media_id and l.k = r.k and l.key = r.key and r.start - 0.6::double <= l.start
+      and l.start <= r.start + 0.6::double and abs(l."end" - r."end") <= 0.6::double),
+  mk as (select *, row_number() over fr as r1, lead(d) over fr as r2, row_number() over fl as l1, lead(d) over fl as l2 from mp
+    window fr as (partition by media_id, chunk, pos order by d, prev_pos), fl as (partition by media_id, chunk, prev_pos order by d, pos)),
+  ma as (select media_id, chunk, pos, prev_pos from mk where r1 = 1 and l1 = 1 and rn = 1 and ln = 1
+    and not coalesce(abs(r2 - d) <= greatest(1e-6::double, 1e-9::double * greatest(r2, d)), false)
+    and not coalesce(abs(l2 - d) <= greatest(1e-6::double, 1e-9::double * greatest(l2, d)), false))"""
+# Labels linked to one of the chunk before, and the number each chain gets.
+SPEAKERS = """vo as (select m.media_id, m.chunk, a.speaker, b.speaker as prev, count(*) as votes from ma m
+      join cr a on a.media_id = m.media_id and a.chunk = m.chunk and a.pos = m.pos join cr b on b.media_id = m.media_id and b.chunk = m.chunk - 1 and b.pos = m.prev_pos
+    where a.speaker is not null and b.speaker is not null group by all),
+  ac as (select * from (select *, count(*) over (partition by media_id, chunk, speaker) as choices, count(*) over (partition by media_id, chunk, prev) as voters from vo)
+    where choices = 1 and voters = 1 and votes >= 2),
+  lb as (select media_id, chunk, speaker, min(pos) as first_pos from cr where speaker is not null group by all),
+  lr as (select lb.media_id, lb.chunk, lb.speaker, lb.chunk as rc, lb.speaker as rs, first_pos as rp from lb left join ac using (media_id, chunk, speaker) where ac.prev is null union all
+    select a.media_id, a.chunk, a.speaker, r.rc, r.rs, r.rp from lr r join ac a on a.media_id = r.media_id and a.chunk = r.chunk + 1 and a.prev = r.speaker),
+  gs as (select media_id, chunk, speaker, (dense_rank() over (partition by media_id order by rc, rp, rs) - 1)::varchar as global_speaker from lr)"""
+MERGED = """wr as (select cr.*, cr.chunk as rc, cr.pos as rp from cr left join ma using (media_id, chunk, pos) where ma.prev_pos is null union all
+    select c.*, r.rc, r.rp from wr r join ma on ma.media_id = r.media_id and ma.chunk = r.chunk + 1 and ma.prev_pos = r.pos
+      join cr c on c.media_id = ma.media_id and c.chunk = ma.chunk and c.pos = ma.pos),
+  wo as (select wr.*, global_speaker, prev_end is null and next_start is null as single,
+      coalesce((prev_end + c_start) / 2 <= (wr.start + wr."end") / 2, true) and coalesce((wr.start + wr."end") / 2 < (c_end + next_start) / 2, true) as owned
+    from wr left join gs using (media_id, chunk, speaker)),
+  wk as (select media_id, min_by({c: chunk, p: pos, s: start, e: "end", t: text, g: case when single then speaker else global_speaker end},
+      {u: not owned, c: chunk, p: pos}) as w from wo group by media_id, rc, rp having max(owned) or count(*) > 1)"""
+
+
+@query("match_overlap_words", with_(V.WORDS, CHUNKED, select="select * from ma"))
 def match_overlap_words(spark, d):
     plan, rows = chunked_words(spark, d)
     return K.match_overlap_words(K._absolute(rows, K._chunk_times(plan)))
 
 
-@query("map_chunk_speakers")
+@query("map_chunk_speakers", with_(V.WORDS, CHUNKED, SPEAKERS, recursive=True, select="select * from gs"))
 def map_chunk_speakers(spark, d):
     plan, rows = chunked_words(spark, d)
     absolute = materialize(K._absolute(rows, K._chunk_times(plan)))
     return K.map_speakers(absolute, materialize(K.match_overlap_words(absolute)))
 
 
-@query("merge_chunks")
+@query(
+    "merge_chunks",
+    with_(V.WORDS, CHUNKED, SPEAKERS, MERGED, recursive=True, select="""select media_id, row_number() over (partition by media_id order by w.s, w.e, w.c, w.p) - 1 as ordinal,
+      w.s as start, w.e as "end", w.t as text, w.g as speaker from wk"""),
+)
 def merge_chunks(spark, d):
     plan, rows = chunked_words(spark, d)
     return K.merge_chunks(plan, rows)
