@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cueloom.operators import words as W
 from cueloom.queries import views as V
 from cueloom.queries.registry import SQL, query, with_
+from cueloom.queries.timeline import MISSING_BATCHES, MISSING_ROWS
 from cueloom.session import scratch_dir
 from cueloom.streaming import operators as L
 from cueloom.operators.reconcile import promote_authoritative
@@ -52,7 +55,14 @@ def stream_chunk_windows(spark, d):
     return live(rows, L.stream_chunks)
 
 
-@query("stream_continuous_feed")
+# In these a row's outcome depends on the outcomes before it: they go row by row.
+FEED = """cf as (select media_id, "end", row_number() over (partition by media_id order by ordinal) as k from iv),
+  fd as (select media_id, 0 as k, 0.0::double as done, false as hit, 0.0::double as start from (select distinct media_id from cf) union all
+    select c.media_id, c.k, case when c."end" >= f.done + 1 then c."end" else f.done end, c."end" >= f.done + 1, greatest(0.0::double, f.done - 1)
+    from fd f join cf c on c.media_id = f.media_id and c.k = f.k + 1)"""
+
+
+@query("stream_continuous_feed", with_(V.IV, FEED, recursive=True, select='select media_id, start, done as "end" from fd where hit'))
 def stream_continuous_feed(spark, d):
     iv = V.intervals(spark, d)
     return live(iv.select("media_id", F.col("ordinal").alias("seq"), "end"), L.continuous_feed)
@@ -160,7 +170,20 @@ def refed_words(spark, d):
     return w.unionByName(again.withColumn("seq", F.col("seq") - 1))
 
 
-@query("stream_dedup_words")
+REFED = """rw as (select *, ordinal::bigint * 2 as seq from words union all by name
+    select * replace (start + 0.05::double as start, "end" + 0.05::double as "end"), ordinal::bigint * 2 + 9 as seq from words where ordinal % 100 >= 95),
+  rn as (select media_id, start, "end", text, speaker, lower(trim(text)) as key, row_number() over (partition by media_id order by seq) as k from rw),
+  dd as (select media_id, 0 as k, 0::bigint as n, []::struct(s double, t varchar)[] as held, false as kept from (select distinct media_id from rn) union all
+    select media_id, k, case when keep then n + 1 else n end, case when keep then list_append(held, {s: start, t: key})[-80:] else held end, keep
+    from (select r.*, d.n, d.held, not (len(list_filter(d.held, lambda y: y.t = r.key and abs(y.s - r.start) <= 0.6::double)) > 0
+        or coalesce(r.start < d.held[-1].s, false)) as keep from dd d join rn r on r.media_id = d.media_id and r.k = d.k + 1))"""
+
+
+@query(
+    "stream_dedup_words",
+    with_(V.WORDS, REFED, recursive=True, select="""select dd.media_id, n - 1 as ordinal, start, "end", text, speaker
+      from dd join rn on rn.media_id = dd.media_id and rn.k = dd.k where kept"""),
+)
 def stream_dedup_words(spark, d):
     return live(refed_words(spark, d).drop("ordinal"), L.dedup_words_stream)
 
@@ -205,7 +228,22 @@ def stream_dispatch_ledger(spark, d):
     return replay(*steps(rows), lambda s: (T.drain_into(s.drop("seq"), land, state), table.read())[1])
 
 
-@query("dispatch_once")
+# What dispatch may look at: words before the last silence after everything so far.
+USABLE = """au as (select media_id, ordinal, start - max("end") over (partition by media_id order by ordinal
+      rows between unbounded preceding and 1 preceding) as pause from words),
+  ub as (select media_id, max(ordinal) as usable from au where pause >= 0.8::double group by media_id),
+  uw as (select w.* from words w join ub on ub.media_id = w.media_id and w.ordinal < ub.usable)"""
+
+
+@query(
+    "dispatch_once",
+    with_(V.WORDS, V.TURNS, MISSING_BATCHES, f"dn as ({MISSING_ROWS})", USABLE,
+          re.sub(r"\b(un|us|sil|tot|bt|fin)\b", r"\1_", MISSING_BATCHES).replace("from words w", "from uw w"),
+          "db as (" + re.sub(r"\b(sil|bt|fin)\b", r"\1_", MISSING_ROWS) + ")", recursive=True,
+          select="""select * from db where last_ordinal - first_ordinal + 1 >= 30
+      and not exists (select 1 from dn where dn.media_id = db.media_id and dn.first_ordinal = db.first_ordinal
+        and dn.last_ordinal = db.last_ordinal and dn.first_ordinal % 2 = 0)"""),
+)
 def dispatch_once(spark, d):
     words, cues = V.words(spark, d), V.cues(spark, d).where("stable")
     done = W.missing_word_batches(words, cues, 30).where("first_ordinal % 2 = 0").select(
@@ -214,7 +252,13 @@ def dispatch_once(spark, d):
     return W.dispatch_once(words, cues, 30, done)
 
 
-@query("stream_forced_flush")
+FORCED = """hf as (select media_id, ordinal, "end", row_number() over (partition by media_id order by ordinal) as k from iv),
+  hr as (select media_id, 0 as k, 0::bigint as seq, 0.0::double as floor, false as hit from (select distinct media_id from hf) union all
+    select f.media_id, f.k, f.ordinal, case when f.ordinal % 6 = 0 then greatest(r.floor, f."end") when f."end" - r.floor >= 25 then f."end" else r.floor end,
+      f.ordinal % 6 <> 0 and f."end" - r.floor >= 25 from hr r join hf f on f.media_id = r.media_id and f.k = r.k + 1)"""
+
+
+@query("stream_forced_flush", with_(V.IV, FORCED, recursive=True, select="select media_id, seq, floor as commit_at from hr where hit"))
 def stream_forced_flush(spark, d):
     k = F.col("ordinal")
     rows = V.intervals(spark, d).select(

@@ -229,9 +229,7 @@ def coverage_report(spark, d):
     )
 
 
-@query(
-    "missing_word_batches",
-    with_(V.WORDS, V.TURNS, """un as (select *, ordinal - row_number() over (partition by media_id order by ordinal) as run
+MISSING_BATCHES = """un as (select *, ordinal - row_number() over (partition by media_id order by ordinal) as run
         from words w where not exists (select 1 from cues c where c.media_id = w.media_id and c.stable
           and w.ordinal between c.first_word and c.last_word)),
       us as (select media_id, run, ordinal, lead(start) over (partition by media_id, run order by ordinal)
@@ -244,11 +242,15 @@ def coverage_report(spark, d):
             (select min_by(ordinal, (-gap, ordinal)) from sil where sil.media_id = bt.media_id and sil.run = bt.run and ordinal between pos + 14 and pos + 29),
             (select min(ordinal) from sil where sil.media_id = bt.media_id and sil.run = bt.run and ordinal between pos + 30 and pos + 58),
             pos + 59) + 1 end as stop from bt) where stop < n),
-      fin as (select *, coalesce(lead(pos) over (partition by media_id, run order by pos), n) as stop from bt)""",
-          recursive=True,
-          select="""select media_id, pos as first_ordinal, stop - 1 as last_ordinal, (n - pos > 60 and not exists (
+      fin as (select *, coalesce(lead(pos) over (partition by media_id, run order by pos), n) as stop from bt)"""
+MISSING_ROWS = """select media_id, pos as first_ordinal, stop - 1 as last_ordinal, (n - pos > 60 and not exists (
         select 1 from sil where sil.media_id = fin.media_id and sil.run = fin.run and ordinal between pos + 14 and pos + 58)) as forced_end
-      from fin"""),
+      from fin"""
+
+
+@query(
+    "missing_word_batches",
+    with_(V.WORDS, V.TURNS, MISSING_BATCHES, recursive=True, select=MISSING_ROWS),
 )
 def missing_word_batches(spark, d):
     return W.missing_word_batches(V.words(spark, d), V.cues(spark, d).where("stable"), 30)
