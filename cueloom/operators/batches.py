@@ -270,3 +270,82 @@ def run_with_retries(
             break
         todo = bad.select(*plain, F.array(fault).alias("errors"))
     return accepted, log
+
+
+def word_payload(batch_words: DataFrame) -> DataFrame:
+    """(media_id, batch, payload): each batch's words in order, as JSON.
+
+    ``batch_words`` as for :func:`validate_responses`; a batch holds at most a few hundred words.
+    """
+    item = F.struct("ordinal", "text", "speaker", "start", "end")
+    return batch_words.groupBy("media_id", "batch").agg(
+        F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("words"))).alias("payload")
+    )
+
+
+ATTEMPTS = "media_id {media}, batch {batch}, attempt int, status string, errors array<string>"
+WORD_CUES = (
+    "media_id {media}, batch {batch}, attempt int, id string, start double, end double, source string, "
+    "translated string, speaker string, first_word int, last_word int"
+)
+
+
+def run_word_batches(
+    batch_words: DataFrame, fn: Callable[[dict], dict], folder: str, attempts: int = 3, max_seconds: float = 8.0,
+    max_chars: int = 84,
+) -> tuple[DataFrame, DataFrame]:
+    """Words to accepted cues through a user function: (cues, attempt log).
+
+    Each round calls ``fn`` for the batches still open, checks the replies, keeps the cues of
+    sound batches and sends the others round again with their errors. The last round accepts
+    cues beyond the soft limits. ``folder`` holds the cues and the log as Parquet: ``running``
+    is written before a round calls, ``complete`` or ``failed`` when its cues are stored.
+    Called again with the same folder, after a crash or not, it goes on where it ended:
+    complete batches are not asked again, attempts count on, and what a lost round left is
+    not read. ``fn`` gets {"words": [...], "errors": [...]} and returns {"cues": [...]}.
+    """
+    spark, key = batch_words.sparkSession, ["media_id", "batch"]
+    types = {n: batch_words.schema[n].dataType.simpleString() for n in key}
+    log_schema = ATTEMPTS.format(media=types["media_id"], batch=types["batch"])
+    cue_schema = WORD_CUES.format(media=types["media_id"], batch=types["batch"])
+
+    def table(name: str, schema: str) -> DataFrame:
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    def note(rows: DataFrame, status, errors) -> None:
+        rows.select(*key, "attempt", status.alias("status"), errors.cast("array<string>").alias("errors")).write.mode("append").parquet(f"{folder}/log")
+
+    batch_words = materialize(batch_words)
+    payloads = materialize(word_payload(batch_words))
+    table("cues", cue_schema)
+    for _ in range(attempts):
+        past = table("log", log_schema).groupBy(*key).agg(
+            F.max("attempt").alias("tried"), F.max(F.col("status") == "complete").alias("done"),
+            F.max_by("errors", F.struct("attempt", F.col("status") != "running")).alias("errors"),
+        )
+        open_ = materialize(
+            payloads.join(past, key, "left").where(~F.coalesce("done", F.lit(False)) & (F.coalesce("tried", F.lit(0)) < attempts))
+            .select(*key, "payload", "errors", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"))
+        )
+        if open_.isEmpty():
+            break
+        note(open_, F.lit("running"), F.lit(None))
+        out = materialize(map_batches(open_, fn, WORD_REPLY))
+        items = out.select(*key, F.posexplode("reply.cues").alias("pos", "c")).select(*key, "pos", "c.*")
+        asked = batch_words.join(open_.select(*key), key, "left_semi")
+        found, errors, overruns = validate_responses(items, asked, max_seconds, max_chars, accept_overruns=True)
+        # Limits bind until the last attempt of a batch.
+        strict = overruns.join(open_.where(F.col("attempt") < attempts).select(*key), key, "left_semi")
+        wrong = (
+            errors.select(*key, "pos", "message").unionByName(strict.select(*key, F.col("pos").cast("long").alias("pos"), "message"))
+            .unionByName(out.where("error is not null").select(*key, F.lit(-1).cast("long").alias("pos"), F.col("error").alias("message")))
+            .groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("pos", F.lit(1 << 40)).alias("pos"), "message"))), lambda x: x["message"]).alias("wrong"))
+        )
+        judged = materialize(open_.select(*key, "attempt").join(wrong, key, "left"))
+        sound = found.join(judged.where("wrong is null").select(*key, "attempt"), key)
+        sound.select(*[c.split()[0] for c in WORD_CUES.split(", ")]).write.mode("append").parquet(f"{folder}/cues")
+        note(judged, F.when(F.col("wrong").isNull(), "complete").otherwise("failed"), F.col("wrong"))
+    log = table("log", log_schema)
+    complete = log.where("status = 'complete'").select(*key, "attempt").distinct()
+    return table("cues", cue_schema).join(complete, [*key, "attempt"], "left_semi"), log

@@ -10,6 +10,7 @@ from cueloom.operators import reconcile as R
 from cueloom.operators import words as W
 from cueloom.queries import views as V
 from cueloom.queries.registry import query, with_
+from cueloom.session import scratch_dir
 from cueloom.queries.timeline import BATCHES, SILENCES
 from cueloom.sources import sinks as S
 from cueloom.sources import subtitles as T
@@ -658,3 +659,60 @@ def validated_word_cues(spark, d):
 @query("word_response_errors", with_(V.WORDS, CLAIMS, recursive=True, select="select * from er"))
 def word_response_errors(spark, d):
     return B.validate_responses(*word_batches(spark, d))[1]
+
+
+def segmenting_reply(asked):
+    """Cues of up to eight words of one speaker; some batches err until their errors are shown."""
+    words, errors = asked["words"], asked.get("errors")
+    batch = words[0]["ordinal"] // 40
+    if batch % 5 == 4 and errors is None:
+        raise ConnectionError("no answer")
+    cues, run = [], []
+    for w in [*words, None]:
+        if run and (w is None or w.get("speaker") != run[-1].get("speaker") or len(run) == 8):
+            cues.append({"first_word": run[0]["ordinal"], "last_word": run[-1]["ordinal"],
+                         "source": f"text {run[0]['ordinal']}", "translated": "words"})
+            run = []
+        if w is not None:
+            run.append(w)
+    if batch % 5 == 2 and errors is None:
+        cues[0]["last_word"] += 50
+    if batch % 5 == 3 and errors is None:
+        cues[-1]["translated"] = " "
+    if batch % 10 == 3 and errors is not None and "translation" in errors[0]:
+        cues[0]["source"] = ""
+    return {"cues": cues}
+
+
+RUNS = """wb as (select *, ordinal // 40 as batch, coalesce(speaker, '-') as sp from words),
+  wc as (select *, case when sp is distinct from lag(sp) over (partition by media_id, batch order by ordinal) then 1 else 0 end as opens from wb),
+  wd as (select *, sum(opens) over (partition by media_id, batch order by ordinal) as run from wc),
+  we as (select *, (row_number() over (partition by media_id, batch, run order by ordinal) - 1) // 8 as part from wd)"""
+
+
+def round_trip(spark, d):
+    words = word_batches(spark, d)[1]
+    return B.run_word_batches(words, segmenting_reply, scratch_dir(spark, "round-trip"))
+
+
+@query(
+    "word_round_trip",
+    with_(V.WORDS, RUNS, select="""select media_id, batch, case batch % 5 when 2 then 2 when 4 then 2 when 3 then case when batch % 10 = 3 then 3 else 2 end else 1 end as attempt,
+        'w' || min(ordinal) || '-' || max(ordinal) as id, min_by(start, ordinal) as start, greatest(min_by(start, ordinal), max("end")) as "end",
+        'text ' || min(ordinal) as source, 'words' as translated, any_value(speaker) as speaker, min(ordinal) as first_word, max(ordinal) as last_word
+      from we group by media_id, batch, run, part"""),
+)
+def word_round_trip(spark, d):
+    return round_trip(spark, d)[0]
+
+
+@query(
+    "word_attempt_log",
+    with_(V.WORDS, """n as (select distinct media_id, ordinal // 40 as batch from words),
+      l as (select *, case batch % 5 when 2 then 2 when 4 then 2 when 3 then case when batch % 10 = 3 then 3 else 2 end else 1 end as last from n),
+      a as (select *, unnest(range(1, last + 1)) as attempt from l)""",
+          select="""select media_id, batch, attempt, 'running' as status from a
+      union all select media_id, batch, attempt, case when attempt = last then 'complete' else 'failed' end from a"""),
+)
+def word_attempt_log(spark, d):
+    return round_trip(spark, d)[1].select("media_id", "batch", "attempt", "status")
