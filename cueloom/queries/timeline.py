@@ -264,10 +264,48 @@ def squeezed(words):
     )
 
 
-@query("repair_squeezed_words")
+# Cut-ins in order within each stretch of squeezed words of a speaker. ``tail`` is what a
+# walk back from the present word would pass over; ``moved`` what the last cut-in spread.
+REPAIRED = f"""words as (select * replace (case when ordinal % 50 >= 44 then start + 0.01::double else "end" end as "end",
+      case when ordinal % 50 = 49 then 'other' else speaker end as speaker) from heard),
+  {RATES},
+  lim as (select media_id, max("end") * 0.99::double as lim from words group by media_id),
+  ct as (select *, "end" - start < 0.05::double as sq, greatest(1, {weight_sql('trim(text)')}) as w, lead(ordinal) over m is not null
+      and speaker is distinct from lead(speaker) over m and speaker is not null as cut from words window m as (partition by media_id order by ordinal)),
+  tr as (select *, lead(start) over t as own, sq and not coalesce(lag(sq) over t, false) as opens from ct where speaker is not null
+    window t as (partition by media_id, speaker order by ordinal)),
+  ru as (select *, sum(opens::int) over (partition by media_id, speaker order by ordinal) as run from tr),
+  qs as (select r.media_id, r.speaker, r.run, r.ordinal, r.start, r."end", r.w, r.cut, r.own, l.lim, coalesce(s.rate, o.overall) as rate,
+      row_number() over (partition by r.media_id, r.speaker, r.run order by r.ordinal) as k
+    from ru r join lim l on l.media_id = r.media_id left join rates s on s.media_id = r.media_id and s.speaker = r.speaker
+      join ov o on o.media_id = r.media_id where r.sq),
+  wk as (select media_id, speaker, run, 0::bigint as k, []::struct(o int, s double, e double, w bigint)[] as tail,
+      []::struct(o int, s double, e double, w bigint)[] as moved from (select distinct media_id, speaker, run from qs) union all
+    select media_id, speaker, run, k, case when hit then spread[coalesce(list_max(list_filter(range(1, len(spread) + 1),
+        lambda i: spread[i].e - spread[i].s >= 0.05::double)), 0) + 1:] else passed end, case when hit then spread end
+    from (select *, list_transform(range(1, len(passed) + 1), lambda i: {{
+        o: passed[i].o, w: passed[i].w,
+        s: passed[1].s + (until - passed[1].s) * coalesce(list_sum(list_transform(passed[1:i - 1], lambda x: x.w)), 0)::double / weight::double,
+        e: passed[1].s + (until - passed[1].s) * list_sum(list_transform(passed[1:i], lambda x: x.w))::double / weight::double}})
+          ::struct(o int, w bigint, s double, e double)[] as spread
+      from (select *, cut and until > greatest(passed[1].s, "end") as hit
+        from (select *, least(passed[1].s + weight * rate, passed[1].s + 5, coalesce(own, 'infinity'::double), lim) as until
+          from (select *, list_sum(list_transform(passed, lambda x: x.w)) as weight
+            from (select q.media_id, q.speaker, q.run, q.k, q.cut, q.own, q.lim, q.rate, q."end",
+                list_append(f.tail, {{o: q.ordinal::int, s: q.start, e: q."end", w: q.w::bigint}}) as passed
+              from wk f join qs q on q.media_id = f.media_id and q.speaker = f.speaker and q.run = f.run and q.k = f.k + 1)))))),
+  mv as (select media_id, m.o as ordinal, arg_max(m.s, k) as s, arg_max(m.e, k) as e from (select media_id, k, unnest(moved) as m from wk) group by all)"""
+
+
+@query(
+    "repair_squeezed_words",
+    with_(V.WORDS.replace("\nwords as (", "\nheard as ("), REPAIRED, recursive=True, select="""select media_id, ordinal, round(coalesce(s, start), 6) as start,
+      round(coalesce(e, "end"), 6) as "end", text, speaker from words left join mv using (media_id, ordinal)"""),
+)
 def repair_squeezed(spark, d):
     words = squeezed(V.words(spark, d))
-    return W.repair_squeezed(words, V.durations(words, 0.99))
+    repaired = W.repair_squeezed(words, V.durations(words, 0.99))
+    return repaired.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
 @query(
