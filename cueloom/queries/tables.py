@@ -716,3 +716,27 @@ def word_round_trip(spark, d):
 )
 def word_attempt_log(spark, d):
     return round_trip(spark, d)[1].select("media_id", "batch", "attempt", "status")
+
+
+@query(
+    "published_ass_files",
+    with_(V.IV, "iv50 as (select * replace (ordinal % 50 as media_id) from iv)", render_sql("iv50"),
+          "hd as (" + header_sql(1920, 1080, "64", "3,2", "60,60,40") + ")",
+          """al as (select artifact, media_id, line_no, line from body union all select artifact, media_id, i.k - 1, h[i.k]
+        from (select distinct artifact, media_id from body) cross join (select unnest(range(1, 16)) as k) i cross join hd),
+      fi as (select artifact, media_id, count(*) as lines, string_agg(line, chr(10) order by line_no) || chr(10) as content from al group by artifact, media_id)""",
+          select="""select 'talk' || media_id || case artifact when 'bilingual' then '.pt-br-de.ass' else '.' || artifact || '.ass' end as name,
+      lines, octet_length(encode(content))::bigint as bytes, sha256(content) as sha256 from fi"""),
+)
+def published_ass_files(spark, d):
+    """Fifty recordings in three modes: read back from the files, in the order of their lines."""
+    iv = V.intervals(spark, d).withColumn("media_id", F.col("ordinal") % 50)
+    path = scratch_dir(spark, "published")
+    base = F.concat(F.lit("talk"), F.col("media_id").cast("string"))
+    S.publish_ass(S.render_ass(S.cue_events(iv)), path, base, F.lit("pt_BR"), F.lit("de"))
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        (F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1).cast("long").alias("lines"),
+        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
+    )

@@ -29,7 +29,7 @@ BLOCK_BYTES = 1 << 20
 HEADER_BYTES = 1 << 16
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     """A file system and the path inside it; ``file:/x`` is how Spark writes a local path."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
@@ -37,7 +37,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _blocks(path: str, skip: int, length: int, size: int = BLOCK_BYTES) -> Iterator[bytes]:
-    system, name = _opened(path)
+    system, name = opened(path)
     with system.open_input_file(name) as f:
         f.seek(skip)
         while length > 0:
@@ -59,7 +59,7 @@ def write_pcm(samples: DataFrame, path: str, rate: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        system, root = _opened(path)
+        system, root = opened(path)
         system.create_dir(root, recursive=True)
         rows: list[tuple] = []
         out, now = None, None
@@ -73,7 +73,7 @@ def write_pcm(samples: DataFrame, path: str, rate: int) -> DataFrame:
                     if out is not None:
                         out.close()
                     name = f"{path.rstrip('/')}/{uuid.uuid4().hex}.pcm"
-                    out = system.open_output_stream(_opened(name)[1])
+                    out = system.open_output_stream(opened(name)[1])
                     rows.append([media[a], name, int(i[a]), 0])
                 out.write(data[a:b].tobytes())
                 rows[-1][3] += int(b - a)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.functions.names import output_suffix
 from cueloom.functions.text import ass_name, ass_text, strip
 from cueloom.functions.times import ass_time
 from cueloom.plans.blocks import Ordered, last_seen, row_number
+from cueloom.session import materialize
+from cueloom.sources.pcm import opened
 from cueloom.sources.subtitles import KEY, SECTION, read_ass
 
 DEFAULT_PLAY_RES = (1920, 1080)
@@ -130,6 +138,60 @@ def write_ass(lines: DataFrame, path: str) -> None:
     )
 
 
+PUBLISHED = "artifact string, media_id string, name string, lines long, bytes long, sha256 string"
+
+
+def publish_ass(
+    lines: DataFrame, path: str, base: Column, source_language: Column, target_language: Column
+) -> DataFrame:
+    """One file per (artifact, media) in ``path``, named ``base`` and the mode's suffix.
+
+    Returns the manifest: what was written, with its digest. Files are range-partitioned by
+    name order, so a task writes many small ones in a row; the lines of one stream through
+    one task and are never held together. A file is written beside its place and moved onto
+    it, and equal content makes a second attempt harmless. A bilingual name needs both
+    languages; without them the write fails before any file is touched.
+    """
+    suffix = output_suffix(F.col("artifact"), source_language, target_language)
+    named = lines.withColumn("__name", F.concat(base, suffix)).withColumn(
+        "__name", F.when(F.col("__name").isNull(), F.raise_error(F.lit("a file name needs its languages"))).otherwise(F.col("__name"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        system.create_dir(root, recursive=True)
+        rows, now, out, digest, spare = [], None, None, None, ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(spare, f"{root}/{now[2]}")
+                rows[-1][-1] = digest.hexdigest()
+
+        for batch in batches:
+            for artifact, media, name, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (artifact, media, name) != now:
+                    close()
+                    now, digest, spare = (artifact, media, name), hashlib.sha256(), f"{root}/_{uuid.uuid4().hex}"
+                    out = system.open_output_stream(spare)
+                    rows.append([artifact, media, name, 0, 0, None])
+                data = (line + "\n").encode()
+                out.write(data)
+                digest.update(data)
+                rows[-1][3] += 1
+                rows[-1][4] += len(data)
+        close()
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)],
+            ["artifact", "media_id", "name", "lines", "bytes", "sha256"],
+        )
+
+    placed = named.repartitionByRange("__name").sortWithinPartitions("__name", "line_no")
+    columns = ["artifact", F.col("media_id").cast("string").alias("media_id"), F.col("__name").alias("name"), "line"]
+    return materialize(placed.select(*columns).mapInArrow(run, PUBLISHED))
+
+
 def canonical_lines(lines: DataFrame, play_res: DataFrame | None = None) -> DataFrame:
     """Canonical form of parsed files: events sorted, header and fields rewritten."""
     events, problems = read_ass(lines)

@@ -72,3 +72,28 @@ def test_wav_headers(spark):
     with pytest.raises(Exception, match="ends"):
         local(parts.where("skip = 56").first()["path"]).write_bytes(whole[:100])
         pcm.fingerprints(parts.where("skip = 56")).collect()
+
+
+# --- subtitle files ---
+
+
+def test_published_files_and_their_manifest(spark):
+    from pyspark.sql import functions as F
+
+    from cueloom.sources import sinks
+
+    cues = spark.createDataFrame(
+        [(m, f"{i}", i, float(i), i + 0.5, f"line {i}", "T" if i % 2 else None, None) for m in (1, 2) for i in range(5)],
+        "media_id long, id string, ordinal long, start double, end double, source string, translated string, speaker string")
+    lines, folder = sinks.render_ass(sinks.cue_events(cues)), scratch_dir(spark, "published")
+    base = F.concat(F.lit("m"), F.col("media_id").cast("string"))
+    for _ in range(2):  # again over the same names
+        manifest = sinks.publish_ass(lines, folder, base, F.lit("en"), F.lit("zh_TW")).collect()
+        files = {f.name: f.read_bytes() for f in local(folder).iterdir()}
+        assert sorted(files) == sorted(f"m{m}.{x}.ass" for m in (1, 2) for x in ("source", "translated", "en-zh-tw"))
+        assert {r.name: (r.lines, r.bytes, r.sha256) for r in manifest} == {
+            n: (c.count(b"\n"), len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    shown = [x.rsplit(",,", 1)[1] for x in files["m1.en-zh-tw.ass"].decode().splitlines() if x.startswith("Dialogue:")]
+    assert shown == ["line 0", "T\\Nline 1", "line 2", "T\\Nline 3", "line 4"]
+    with pytest.raises(Exception, match="languages"):
+        sinks.publish_ass(lines, scratch_dir(spark, "none"), base, F.lit("en"), F.lit(None).cast("string"))
