@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.text import norm_key_a, strip
@@ -376,6 +376,20 @@ def latest_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
 
 
+def top1(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """The first row per key by ``order``, each column ascending unless given ``.desc()``.
+
+    Ties are part of the order: "nearest, of equals the later" is
+    ``top1(df, key, distance, time.desc())``, "largest, of equals the first" is
+    ``top1(df, key, gap.desc(), F.col("ordinal"))``. Rows equal in all of it are told apart by
+    their other columns, so the answer does not depend on how rows lie. A partial choice is
+    made before the exchange: a hot key sends one row per task.
+    """
+    rest = [F.to_json(F.struct(*[c for c in df.columns if c not in key]))]
+    first = Window.partitionBy(*key).orderBy(*order, *rest)
+    return df.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
+
+
 def resume_point(cues: DataFrame, durations: DataFrame, overlap: float = 5.0) -> DataFrame:
     """Where to restart, and the share of each recording still to do."""
     done = cues.groupBy("media_id").agg(F.max("end").alias("processed"))
@@ -394,7 +408,8 @@ def resume_point(cues: DataFrame, durations: DataFrame, overlap: float = 5.0) ->
 def fold_traces(events: DataFrame) -> DataFrame:
     """Current state of every operation.
 
-    ``events``: operation_id, seq, state, cue_ids, model, attempt, created_at.
+    ``events``: operation_id, seq, state, cue_ids, model, attempt, created_at, and
+    max_attempts where the log has it.
     """
     at = F.col("seq")
     final = F.col("state").isin("completed", "failed", "cancelled")
@@ -402,7 +417,11 @@ def fold_traces(events: DataFrame) -> DataFrame:
     def last(value, when):
         return F.max_by(value, F.when(when, at))
 
+    limit = []
+    if "max_attempts" in events.columns:
+        limit = [last("max_attempts", F.col("max_attempts").isNotNull()).alias("max_attempts")]
     folded = events.groupBy("operation_id").agg(
+        *limit,
         F.max_by("state", at).alias("state"),
         last("cue_ids", F.size("cue_ids") > 0).alias("cue_ids"),
         last("model", F.coalesce("model", F.lit("")) != "").alias("model"),

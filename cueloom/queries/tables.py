@@ -291,9 +291,9 @@ def resume_point(spark, d):
     """with t as (select user_id as operation_id, event_id as seq, ts, case event_type when 'click' then 'running' when 'view' then 'retrying'
         when 'purchase' then 'completed' when 'error' then 'failed' else 'cancelled' end as state,
         case when event_id % 3 = 0 then ['c' || event_id] else [] end as cue_ids, case when event_id % 4 = 0 then 'm' || event_id else '' end as model,
-        case when event_id % 5 = 0 then event_id % 3 end as attempt from events)
+        case when event_id % 5 = 0 then event_id % 3 end as attempt, case when event_id % 7 = 0 then event_id % 4 + 1 end as most from events)
       select operation_id, max_by(state, seq) as state, array_to_string(max_by(cue_ids, seq) filter (len(cue_ids) > 0), ',') as cue_ids,
-        max_by(model, seq) filter (model <> '') as model, max_by(attempt, seq) filter (attempt is not null) as attempt,
+        max_by(model, seq) filter (model <> '') as model, max_by(attempt, seq) filter (attempt is not null) as attempt, max_by(most, seq) filter (most is not null) as max_attempts,
         greatest(0, coalesce(round_even(epoch_us(max_by(ts, seq) filter (state in ('completed', 'failed', 'cancelled')))::double / 1e6
           - epoch_us(min_by(ts, seq))::double / 1e6, 0)::bigint, 0)) as elapsed, max_by(state, seq) in ('running', 'retrying') as active
       from t group by operation_id""",
@@ -311,10 +311,10 @@ def fold_traces(spark, d):
         state.alias("state"),
         F.when(k % 3 == 0, F.array(F.concat(F.lit("c"), k.cast("string")))).otherwise(F.array().cast("array<string>")).alias("cue_ids"),
         F.when(k % 4 == 0, F.concat(F.lit("m"), k.cast("string"))).otherwise("").alias("model"),
-        F.when(k % 5 == 0, k % 3).alias("attempt"),
+        F.when(k % 5 == 0, k % 3).alias("attempt"), F.when(k % 7 == 0, k % 4 + 1).alias("max_attempts"),
     )
     out = R.fold_traces(events)
-    return out.select("operation_id", "state", F.array_join("cue_ids", ",").alias("cue_ids"), "model", "attempt",
+    return out.select("operation_id", "state", F.array_join("cue_ids", ",").alias("cue_ids"), "model", "attempt", "max_attempts",
                       F.coalesce("elapsed", F.lit(0)).alias("elapsed"), "active")
 
 
@@ -721,7 +721,7 @@ def word_attempt_log(spark, d):
 @query(
     "published_ass_files",
     with_(V.IV, "iv50 as (select * replace (ordinal % 50 as media_id) from iv)", render_sql("iv50"),
-          "hd as (" + header_sql(1920, 1080, "64", "3,2", "60,60,40") + ")",
+          "hd as (" + header_sql(1920, 1080, "64", "3,1.5", "60,60,40") + ")",
           """al as (select artifact, media_id, line_no, line from body union all select artifact, media_id, i.k - 1, h[i.k]
         from (select distinct artifact, media_id from body) cross join (select unnest(range(1, 16)) as k) i cross join hd),
       fi as (select artifact, media_id, count(*) as lines, string_agg(line, chr(10) order by line_no) || chr(10) as content from al group by artifact, media_id)""",

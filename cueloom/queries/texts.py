@@ -10,7 +10,7 @@ from cueloom.functions import text as X
 from cueloom.functions import times as M
 from cueloom.operators import align as A
 from cueloom.queries import views as V
-from cueloom.queries.registry import query, with_
+from cueloom.queries.registry import SQL, query, with_
 from cueloom.queries.tables import ass_sql
 from cueloom.queries.timeline import weight_sql
 from cueloom.sources import recognition as G
@@ -340,6 +340,16 @@ def read_segments(spark, d):
         case when i % 3 > 0 then (i % 3)::varchar end as speaker, case when i % 2 = 0 then -0.5::double end as logprob from w""",
 )
 def read_words_spaced(spark, d):
+    return G.read_words_spaced(spaced_words(spark, d))
+
+
+@query("word_parser", SQL["read_words_spaced"])
+def word_parser(spark, d):
+    """The reader a provider's name stands for."""
+    return G.word_parser("spaced")(spaced_words(spark, d))
+
+
+def spaced_words(spark, d):
     c = V.table(spark, d, "conversations").withColumn("media_id", F.col("conv_id") * 100 + F.col("turn"))
     def item(kind, text, start=None, end=None, speaker=None, logprob=None):
         none = F.lit(None)
@@ -356,7 +366,7 @@ def read_words_spaced(spark, d):
         return F.array(word, item("audio_event", F.lit("(laughter)")), item("spacing", F.lit(" ")))
     lead = F.array(item("spacing", F.lit("  ")))
     items = F.concat(lead, F.flatten(F.transform(F.split("text", " "), group)))
-    return G.read_words_spaced(c.select("media_id", F.to_json(items).alias("content")))
+    return c.select("media_id", F.to_json(items).alias("content"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cueloom.functions.text import wide_ranges
 from cueloom.operators import cues as C
 from cueloom.operators import intervals as I
+from cueloom.operators import reconcile as R
 from cueloom.operators import words as W
 from cueloom.queries import views as V
 from cueloom.queries.registry import query, with_
@@ -500,3 +501,18 @@ def quarantine(spark, d):
         "end": F.col("end") - F.when(F.col("ordinal") % 31 == 0, 20).otherwise(0),
     })
     return C.rejected_cues(iv).select("media_id", "id", "reason")
+
+
+@query(
+    "top1_rules",
+    with_(V.IV, select="""select media_id, event_type, (select id from iv b where b.media_id = a.media_id and b.event_type = a.event_type
+        order by abs("end" - 1000), "end" desc, ordinal limit 1) as nearest,
+      (select id from iv b where b.media_id = a.media_id and b.event_type = a.event_type order by floor("end" - start) desc, ordinal limit 1) as longest
+    from (select distinct media_id, event_type from iv) a"""),
+)
+def top1_rules(spark, d):
+    """Nearest of equals the later, longest of equals the first."""
+    iv, key = V.intervals(spark, d), ["media_id", "event_type"]
+    near = R.top1(iv, key, F.abs(F.col("end") - 1000), F.col("end").desc(), F.col("ordinal"))
+    wide = R.top1(iv, key, F.floor(F.col("end") - F.col("start")).desc(), F.col("ordinal"))
+    return near.select(*key, F.col("id").alias("nearest")).join(wide.select(*key, F.col("id").alias("longest")), key)

@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = [
     "coalesce_intervals", "crosstalk", "qualified_silences", "segment_words", "extend_ends", "plan_chunks",
     "align_starts", "refine_ends", "merge_overlap", "check_results", "event_problems", "render_ass",
-    "text_weight", "read_segments", "subtitle_layout", "settle_final_ids", "map_batches",
+    "text_weight", "read_segments", "subtitle_layout", "settle_final_ids", "map_batches", "match_overlap_words",
+    "validated_word_cues", "repair_squeezed_words", "stream_flush_by_timer", "published_ass_files", "top1_rules",
 ]
 NAMES = sorted(contract.oracle_sql()) if os.environ.get("CUELOOM_ALL_QUERIES") else QUICK
 
