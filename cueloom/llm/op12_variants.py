@@ -107,7 +107,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_words(counted: DataFrame) -> DataFrame:
     """(word, n, near, near_n): both directions of every pair exactly one edit apart."""
-    signed = counted.mapInArrow(_signed, "word string, n long, differs boolean, key long")
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A small table that becomes a large one: spread it, whatever its own size.
+    signed = counted.repartition(parts, "word").mapInArrow(_signed, "word string, n long, differs boolean, key long")
     a, b = signed.alias("a"), signed.alias("b")
     lengths = F.char_length("a.word") != F.char_length("b.word")
     pairs = (
