@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.session import materialize
+from cueloom.session import materialize, spread
 
 
 def path_roots(links: DataFrame, node: str, parent: str) -> DataFrame:
@@ -163,7 +163,7 @@ def walk_stops(
                 at = int(nxt[at]) - start
         return pd.DataFrame(out, columns=[*by, "pos", "stop", "forced"])
 
-    located = grid.join(entered, [*by, "b"])
+    located = grid.join(spread(entered), [*by, "b"])
     return (
         grouped(located)
         .cogroup(grouped(near))

@@ -51,6 +51,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Mark ``df`` to be joined by shuffle and sort, never by broadcast.
+
+    Spark sizes an exploded table by its rows before, also behind a checkpoint, and the
+    adaptive plan keeps a broadcast once chosen: undoing it would add a shuffle.
+    """
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cueloom.plans import blocks as B
 from cueloom.plans.asof import Probe, asof
 from cueloom.plans.chains import path_roots, walk_stops
+from cueloom.operators import reconcile, words
 from cueloom.plans.folds import fold
 
 
@@ -139,3 +140,32 @@ def test_walk_stops_over_many_levels(spark, block, fan):
             at += row[at]
     assert sorted(map(tuple, got)) == sorted(want)
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def ranged(spark, path, n=3):
+    """Few rows, stored, whose word ranges explode to many."""
+    cues = spark.createDataFrame([(1, f"c{i}", i * 10.0, i * 1000, i * 1000 + 899) for i in range(n)],
+                                 "media_id long, id string, start double, first_word int, last_word int")
+    heard = spark.range(n * 1000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").cast("int").alias("ordinal"))
+    cues.write.parquet(f"{path}/cues")
+    return heard, spark.read.parquet(f"{path}/cues")
+
+
+def test_exploded_ranges_are_never_broadcast(spark, tmp_path):
+    heard, cues = ranged(spark, str(tmp_path))
+    left = words.uncovered(heard, cues)
+    assert broadcasts(left) == 0
+    assert sorted(r.ordinal for r in left.collect()) == [i for i in range(3000) if i % 1000 >= 900]
+
+
+def test_preview_cues_are_matched_without_broadcast(spark, tmp_path):
+    _, cues = ranged(spark, str(tmp_path))
+    preview = cues.withColumns({"id": F.concat(F.lit("p"), "id"), "first_word": F.col("first_word") + 899, "last_word": F.col("first_word") + 950})
+    late = preview.withColumns({"id": F.concat(F.lit("q"), "id"), "first_word": F.col("first_word") + 1})
+    got = reconcile.timeline_view(cues, preview.unionByName(late))
+    assert broadcasts(got) == 0
+    assert sorted(r.id for r in got.collect()) == ["c0", "c1", "c2", "qpc0", "qpc1", "qpc2"]
