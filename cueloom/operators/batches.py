@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.text import strip, text_weight, word_cue_id
 from cueloom.functions.times import ass_time
-from cueloom.session import materialize
+from cueloom.session import materialize, spread
 
 CUE_REPLY = "struct<cues: array<struct<id: string, source: string, translated: string>>>"
 WORD_REPLY = (
@@ -100,7 +100,7 @@ def validate_responses(
     last = w.select(
         *key, F.col("ordinal").alias("last_word"), F.col("speaker").alias("s2"), F.lit(True).alias("in2")
     )
-    located = items.join(first, [*key, "first_word"], "left").join(last, [*key, "last_word"], "left")
+    located = items.join(spread(first), [*key, "first_word"], "left").join(spread(last), [*key, "last_word"], "left")
     label = F.concat(
         F.lit("cue "), F.col("first_word").cast("string"), F.lit("–"), F.col("last_word").cast("string")
     )
@@ -119,7 +119,8 @@ def validate_responses(
             F.concat(label, F.lit(" starts and ends with different speakers")),
         )
     )
-    judged = located.withColumns({"label": label, "fault": fault})
+    # Each of the three results reads the judged claims: they are worked out once.
+    judged = materialize(located.withColumns({"label": label, "fault": fault}))
     sound = judged.where("fault is null").withColumn("speaker", F.col("s1"))
     # Both ends of a claim are words of its speaker, so two claims share a word exactly when
     # their ranges meet. A rejected claim claims nothing, hence the ordered fold; a group
@@ -141,15 +142,15 @@ def validate_responses(
         .select(*key, F.explode("kept").alias("k"))
         .select(*key, F.col("k.pos").alias("pos"), F.lit(True).alias("__kept"))
     )
-    decided = sound.join(kept, [*key, "pos"], "left")
+    decided = materialize(sound.join(spread(kept), [*key, "pos"], "left"))
     doubled = decided.where("__kept is null").select(
         *key, "pos",
         F.concat("label", F.lit(" claims words already covered by another cue of its speaker")).alias("message"),
     )
     claims = decided.where("__kept")
-    words_of = claims.select(
+    words_of = spread(claims.select(
         *key, "pos", "speaker", F.explode(F.sequence("first_word", "last_word")).alias("ordinal")
-    ).alias("c").join(
+    )).alias("c").join(
         w.alias("w"),
         (F.col("c.media_id") == F.col("w.media_id"))
         & (F.col("c.batch") == F.col("w.batch"))
@@ -160,12 +161,12 @@ def validate_responses(
         F.min_by("start", "ordinal").alias("start"),
         F.greatest(F.min_by("start", "ordinal"), F.max("end")).alias("end"),
     )
-    cues = claims.join(times, [*key, "pos"]).select(
+    cues = materialize(claims.join(spread(times), [*key, "pos"]).select(
         *key, "pos", "label", word_cue_id(F.col("first_word"), F.col("last_word")).alias("id"),
         "start", "end", strip(F.coalesce("source", F.lit(""))).alias("source"),
         strip(F.coalesce("translated", F.lit(""))).alias("translated"), "speaker",
         "first_word", "last_word",
-    )
+    ))
     blank = cues.select(
         *key, "pos",
         F.explode(F.filter(
@@ -180,8 +181,8 @@ def validate_responses(
     speakers = claims.select(*key, F.coalesce("speaker", F.lit("")).alias("s"), F.col("speaker").isNull().alias("u")).distinct()
     keyed = w.withColumns({"s": F.coalesce("speaker", F.lit("")), "u": F.col("speaker").isNull()})
     missing = (
-        keyed.join(speakers, [*key, "s", "u"], "left_semi")
-        .join(words_of.select(*key, "ordinal"), [*key, "ordinal"], "left_anti")
+        keyed.join(spread(speakers), [*key, "s", "u"], "left_semi")
+        .join(spread(words_of.select(*key, "ordinal")), [*key, "ordinal"], "left_anti")
         .groupBy(*key, "s", "u")
         .agg(F.sort_array(F.collect_list("ordinal")).alias("o"))
         .select(
@@ -195,15 +196,15 @@ def validate_responses(
     )
     silent = (
         keyed.select(*key, "s", "u").distinct()
-        .join(speakers, [*key, "s", "u"], "left_anti")
-        .join(items.select(*key).distinct(), key, "left_semi")
+        .join(spread(speakers), [*key, "s", "u"], "left_anti")
+        .join(spread(items.select(*key).distinct()), key, "left_semi")
         .select(
             *key, F.lit(None).cast("long").alias("pos"),
             F.concat(F.lit("no cue covers any words of speaker "), F.col("s")).alias("message"),
         )
     )
     unanswered = (
-        w.select(*key).distinct().join(items.select(*key).distinct(), key, "left_anti")
+        w.select(*key).distinct().join(spread(items.select(*key).distinct()), key, "left_anti")
         .select(*key, F.lit(None).cast("long").alias("pos"), F.lit("response carries no cues").alias("message"))
     )
     errors = judged.where("fault is not null").select(
@@ -238,7 +239,7 @@ def validate_responses(
     rejected = errors.select(*key)
     if not accept_overruns:
         rejected = rejected.unionByName(overruns.select(*key))
-    accepted = cues.drop("label").join(rejected.distinct(), key, "left_anti")
+    accepted = cues.drop("label").join(spread(rejected.distinct()), key, "left_anti")
     return accepted, errors, overruns
 
 
@@ -325,7 +326,7 @@ def run_word_batches(
             F.max_by("errors", F.struct("attempt", F.col("status") != "running")).alias("errors"),
         )
         open_ = materialize(
-            payloads.join(past, key, "left").where(~F.coalesce("done", F.lit(False)) & (F.coalesce("tried", F.lit(0)) < attempts))
+            payloads.join(spread(past), key, "left").where(~F.coalesce("done", F.lit(False)) & (F.coalesce("tried", F.lit(0)) < attempts))
             .select(*key, "payload", "errors", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"))
         )
         if open_.isEmpty():
@@ -333,19 +334,19 @@ def run_word_batches(
         note(open_, F.lit("running"), F.lit(None))
         out = materialize(map_batches(open_, fn, WORD_REPLY))
         items = out.select(*key, F.posexplode("reply.cues").alias("pos", "c")).select(*key, "pos", "c.*")
-        asked = batch_words.join(open_.select(*key), key, "left_semi")
+        asked = batch_words.join(spread(open_.select(*key)), key, "left_semi")
         found, errors, overruns = validate_responses(items, asked, max_seconds, max_chars, accept_overruns=True)
         # Limits bind until the last attempt of a batch.
-        strict = overruns.join(open_.where(F.col("attempt") < attempts).select(*key), key, "left_semi")
+        strict = overruns.join(spread(open_.where(F.col("attempt") < attempts).select(*key)), key, "left_semi")
         wrong = (
             errors.select(*key, "pos", "message").unionByName(strict.select(*key, F.col("pos").cast("long").alias("pos"), "message"))
             .unionByName(out.where("error is not null").select(*key, F.lit(-1).cast("long").alias("pos"), F.col("error").alias("message")))
             .groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("pos", F.lit(1 << 40)).alias("pos"), "message"))), lambda x: x["message"]).alias("wrong"))
         )
-        judged = materialize(open_.select(*key, "attempt").join(wrong, key, "left"))
-        sound = found.join(judged.where("wrong is null").select(*key, "attempt"), key)
+        judged = materialize(open_.select(*key, "attempt").join(spread(wrong), key, "left"))
+        sound = found.join(spread(judged.where("wrong is null").select(*key, "attempt")), key)
         sound.select(*[c.split()[0] for c in WORD_CUES.split(", ")]).write.mode("append").parquet(f"{folder}/cues")
         note(judged, F.when(F.col("wrong").isNull(), "complete").otherwise("failed"), F.col("wrong"))
     log = table("log", log_schema)
     complete = log.where("status = 'complete'").select(*key, "attempt").distinct()
-    return table("cues", cue_schema).join(complete, [*key, "attempt"], "left_semi"), log
+    return table("cues", cue_schema).join(spread(complete), [*key, "attempt"], "left_semi"), log

@@ -87,3 +87,14 @@ def test_soft_limits_bind_until_the_last_attempt(spark):
 def test_no_words(spark):
     cues, log = B.run_word_batches(words(spark, 0), stubborn, scratch_dir(spark, "round"))
     assert cues.count() == 0 and log.count() == 0
+
+
+def test_replies_are_checked_without_broadcast(spark, tmp_path):
+    words(spark).write.parquet(f"{tmp_path}/words")
+    spark.createDataFrame([(1, b, 0, b * 3, b * 3 + 2, "s", "ok" if b else " ") for b in range(4)],
+                          "media_id long, batch long, pos int, first_word int, last_word int, source string, translated string").write.parquet(f"{tmp_path}/items")
+    found, errors, _ = B.validate_responses(spark.read.parquet(f"{tmp_path}/items"), spark.read.parquet(f"{tmp_path}/words"))
+    for df in (found, errors):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.batch, r.id) for r in found.collect()) == [(1, "w3-5"), (2, "w6-8"), (3, "w9-11")]
+    assert [(r.batch, r.message) for r in errors.collect()] == [(0, "cue 0–2 has an empty translation")]
