@@ -528,9 +528,11 @@ def ass_preview_cues(spark, d):
         (select unnest(range(1, 16)) as k) i cross join ({header_sql(1920, 1080, "64", "3,1.5", "60,60,40")})"""),
 )
 def canonicalize_ass(spark, d):
-    # The cues were rendered in reverse order.
+    # The cues were rendered in reverse order of time; equal times keep their order, which
+    # decides between events equal in name as well.
     iv = V.intervals(spark, d)
-    lines = S.render_ass(S.cue_events(iv.withColumn("ordinal", -F.col("ordinal")), "source"))
+    back = F.struct(*[(-F.rint(F.col(c) * 100)).alias(c) for c in ("start", "end")], "ordinal")
+    lines = S.render_ass(S.cue_events(iv.withColumn("ordinal", back), "source"))
     return S.canonicalize_ass(lines)
 
 

@@ -324,3 +324,14 @@ def test_retired_ordinals_move_by_a_fixed_amount(spark):
     old = new.limit(1).withColumnRenamed("seq", "ordinal").withColumns({"id": F.lit("gone"), "ordinal": F.lit(5).cast("long")})
     for replace in (reconcile.replace_transcript, reconcile.promote_authoritative):
         assert [r.ordinal for r in replace(old, new).where("id = 'gone'").collect()] == [1000005]
+
+
+def test_canonical_files_keep_equal_events_in_order(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, f"2024-01-01 00:{i % 3:02d}:00", 3, "click" if i % 2 else "view", 1.0, f"p{i}") for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.to_timestamp_ntz("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.line_no, r.line) for r in QUERIES["canonicalize_ass"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"select line_no, line from ({SQL['canonicalize_ass']})").fetchall())
