@@ -1,8 +1,10 @@
 """Streams that keep little and forget: settlement, retention, timers, windows, tables."""
 
+import gc
 import pathlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from cueloom.streaming import operators as L
 from cueloom.streaming import tables as T
 from cueloom.streaming import timed
 from cueloom.streaming.run import drain, replay, replay_through
+from cueloom.streaming.state import SLICE, ordered_rows
 from cueloom.streaming.settlement import EVENTS, Suffix, settle_stream
 
 # --- settlement ---
@@ -105,6 +108,15 @@ def test_settlement_state_follows_the_open_suffix():
     assert long <= short + 20
 
 
+def test_rows_of_one_key_are_objects_a_slice_at_a_time():
+    parts = [pd.DataFrame({"seq": range(k, 20000, 4), "text": None if k == 1 else "x", "n": [None if k == 2 else k] * 5000}) for k in (3, 1, 2, 0)]
+    rows = ordered_rows(iter(parts), ["seq"])
+    first = [next(rows) for _ in range(4)]
+    assert [(r["seq"], r["text"], r["n"]) for r in first] == [(0, "x", 0), (1, None, 1), (2, "x", None), (3, "x", 3)]
+    assert sum(1 for o in gc.get_objects() if isinstance(o, dict) and "seq" in o and "text" in o) <= SLICE + 4
+    assert [r["seq"] for r in rows] == list(range(4, 20000))
+
+
 def test_what_comes_too_late_changes_nothing():
     cue = dict(start=0.0, end=0.9, speaker="a", first_word=0, last_word=1)
     events = [event("word", 0, start=0.0), event("word", 1, start=0.5), event("cue", id="w0-1", **cue), event("closed")]
