@@ -108,6 +108,17 @@ def test_settlement_state_follows_the_open_suffix():
     assert long <= short + 20
 
 
+def test_an_event_looks_only_at_the_cuts_it_touches(monkeypatch):
+    """A cut that is never repaired holds everything open; the work an event takes stays small."""
+    events = recording(4, 1500, leave=1.0)
+    looked, clean = [], Suffix._clean
+    monkeypatch.setattr(Suffix, "_clean", lambda *args: looked.append(1) or clean(*args))
+    suffix = Suffix(None, {}, {}, [])
+    for e in events:
+        list(suffix.take(e))
+    assert len(suffix.pending) > 100 and len(looked) <= 5 * len(events)
+
+
 def test_rows_of_one_key_are_objects_a_slice_at_a_time():
     parts = [pd.DataFrame({"seq": range(k, 20000, 4), "text": None if k == 1 else "x", "n": [None if k == 2 else k] * 5000}) for k in (3, 1, 2, 0)]
     rows = ordered_rows(iter(parts), ["seq"])
