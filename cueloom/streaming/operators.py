@@ -116,12 +116,18 @@ def dedup_words_stream(
 
     def step(state, row):
         count, recent = state or (0, [])
-        again = any(k == row["key"] and abs(s - row["start"]) <= tolerance for s, k in recent)
-        late = bool(recent) and row["start"] < recent[-1][0]
-        if again or late:
+        if recent and row["start"] < recent[-1][0]:
             return [count, recent], []
+        # Kept starts never fall, so the near ones are the last ones.
+        for s, k in reversed(recent):
+            if row["start"] - s > tolerance:
+                break
+            if k == row["key"]:
+                return [count, recent], []
         kept = {"ordinal": count, "start": row["start"], "end": row["end"], "text": row["text"], "speaker": row["speaker"]}
-        return [count + 1, [*recent, [row["start"], row["key"]]][-last:]], [kept]
+        recent.append([row["start"], row["key"]])
+        del recent[:-last]
+        return [count + 1, recent], [kept]
 
     return fold_stream(
         keyed, ["media_id"], ["seq"], step,

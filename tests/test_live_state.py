@@ -128,6 +128,31 @@ def test_rows_of_one_key_are_objects_a_slice_at_a_time():
     assert [r["seq"] for r in rows] == list(range(4, 20000))
 
 
+def test_a_word_is_compared_with_near_words_only(monkeypatch):
+    steps_, looked = [], []
+    monkeypatch.setattr(L, "fold_stream", lambda s, key, order, step, schema: steps_.append(step))
+    monkeypatch.setattr(L, "norm_key_c", lambda c: c)
+
+    class Key(str):
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            looked.append(1)
+            return str.__eq__(self, other)
+
+    class Words:
+        def withColumn(self, *_):  # noqa: N802
+            return self
+
+    monkeypatch.setattr(L.F, "col", lambda c: c)
+    L.dedup_words_stream(Words())
+    state, made = None, []
+    for i in range(300):
+        state, out = steps_[0](state, {"start": float(i), "end": i + 0.5, "text": "a", "speaker": None, "key": Key("a")})
+        made += out
+    assert len(made) == 300 and len(looked) <= 300 and len(state[1]) == L.MERGE_LAST
+
+
 def test_what_comes_too_late_changes_nothing():
     cue = dict(start=0.0, end=0.9, speaker="a", first_word=0, last_word=1)
     events = [event("word", 0, start=0.0), event("word", 1, start=0.5), event("cue", id="w0-1", **cue), event("closed")]
