@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.operators.intervals import index_quantile, mark_crosstalk
@@ -15,11 +15,14 @@ from cueloom.plans.blocks import (
     preceding,
     row_number,
 )
+from cueloom.session import materialize, spread
 
 # Fixed values of the end-extension policy.
 SHORT_GAP = 0.7
 LONG_GAP = 1.0
 END_EXTENSION = 0.5
+# Windows of one cue that are tested together for an onset.
+TILE = 1000
 
 
 def valid_cues(cues: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def nearest_context(
 def refine_onsets(cues: DataFrame, levels: DataFrame, step: float = 0.02) -> DataFrame:
     """Move cue starts past leading silence of a level envelope; adds ``volume_start``.
 
-    ``levels``: media_id, win (dense from 0), rms.
+    ``levels``: media_id, win (dense from 0), rms; read several times, so a stored table.
     """
     # Fixed values of the detector.
     noise_q, back_seconds, cap_mult, cap_margin = 0.2, 0.4, 1.5, 3.0
@@ -293,30 +296,32 @@ def refine_onsets(cues: DataFrame, levels: DataFrame, step: float = 0.02) -> Dat
         )
         .where("__i1 > __i0")
     )
-    lookback = Ordered.of(levels.select("media_id", "win", "rms"), ["media_id"], ["win"]).scan(
-        __back=preceding(F.col("rms"), back)
+    # A cue's windows and the few before it, whose quantile is its local noise.
+    search = materialize(
+        spans.select(
+            "media_id", "id", "start", "__global", "__i0",
+            F.explode(
+                F.sequence(F.greatest(F.lit(0), F.col("__i0") - back), F.col("__i1") - 1)
+            ).alias("win"),
+        ).join(spread(levels.select("media_id", "win", "rms")), ["media_id", "win"])
     )
-    ranked = F.sort_array("__back")
-    local = lookback.rows.select(
-        "media_id", F.col("win").alias("__i0"),
-        F.when(
-            F.size("__back") > 0,
-            F.try_element_at(
-                ranked,
-                F.least(F.size("__back"), F.floor(F.size("__back") * F.lit(noise_q)) + 1).cast("int"),
-            ),
-        ).alias("__local"),
+    inside = F.col("win") >= F.col("__i0")
+    ranked = F.col("__before")
+    local = F.try_element_at(
+        ranked, F.least(F.size(ranked), F.floor(F.size(ranked) * F.lit(noise_q)) + 1).cast("int")
     )
-    spans = spans.join(local, ["media_id", "__i0"], "left")
     cap = F.col("__global") * cap_mult + cap_margin
     noise = F.greatest("__global", F.least(F.coalesce("__local", "__global"), cap))
-    search = spans.select(
-        "media_id", "id", "start", noise.alias("__noise"),
-        F.explode(F.sequence(F.col("__i0"), F.col("__i1") - 1)).alias("win"),
-    ).join(levels.select("media_id", "win", "rms"), ["media_id", "win"])
-    peaks = search.groupBy("media_id", "id").agg(
-        F.max("rms").alias("__peak"), F.first("__noise").alias("__noise"),
-        F.first("start").alias("start"),
+    peaks = (
+        search.groupBy("media_id", "id")
+        .agg(
+            F.max(F.when(inside, F.col("rms"))).alias("__peak"),
+            F.sort_array(F.collect_list(F.when(~inside, F.col("rms")))).alias("__before"),
+            F.first("__global").alias("__global"), F.first("start").alias("start"),
+        )
+        .where("__peak is not null")
+        .withColumn("__local", F.when(F.size(ranked) > 0, local))
+        .withColumn("__noise", noise)
     )
     limits = peaks.select(
         "media_id", "id", "start", "__noise",
@@ -327,22 +332,32 @@ def refine_onsets(cues: DataFrame, levels: DataFrame, step: float = 0.02) -> Dat
             F.col("__noise") * strong_mult, F.col("__peak") * strong_peak, F.lit(strong_min)
         ).alias("__strong"),
     )
-    tested = search.select("media_id", "id", "win", "rms").join(
+    limits = materialize(limits)
+    # Tiles of a cue's windows, with the edges the neighbouring tiles look at, so that a
+    # long cue is no single group.
+    tile = F.floor(F.col("win") / TILE)
+    edge = F.col("win") % TILE
+    tested = search.where(inside).join(
         limits.select("media_id", "id", "__weak", "__strong"), ["media_id", "id"]
     ).select(
         "media_id", "id", "win",
-        (F.col("rms") > F.col("__weak")).alias("w"), (F.col("rms") > F.col("__strong")).alias("s"),
-    )
-    placed = Ordered.of(tested, ["media_id", "id"], ["win"]).scan(
-        __prev=preceding(F.col("w"), 3), __next=following(F.col("w"), 2)
+        (F.col("rms") > F.col("__weak")).cast("int").alias("w"),
+        (F.col("rms") > F.col("__strong")).alias("s"),
+        tile.alias("__own"),
+        F.explode(
+            F.when(edge < 2, F.array(tile, tile - 1))
+            .when(edge >= TILE - 3, F.array(tile, tile + 1))
+            .otherwise(F.array(tile))
+        ).alias("__tile"),
     )
-    near = F.size(F.filter(F.concat(F.array("w"), "__next"), lambda x: x))
-    run = F.col("w") & (F.size(F.filter("__prev", lambda x: x)) == 3)
-    strong = F.col("s") & (near >= 2)
+    along = Window.partitionBy("media_id", "id", "__tile").orderBy("win")
+    run = (F.col("w") == 1) & (F.sum("w").over(along.rowsBetween(-3, 0)) == 4)
+    strong = F.col("s") & (F.sum("w").over(along.rowsBetween(0, 2)) >= 2)
     trigger = (
-        placed.rows.where(strong | run)
+        tested.withColumns({"__strong": strong, "__run": run})
+        .where((F.col("__tile") == F.col("__own")) & (F.col("__strong") | F.col("__run")))
         .groupBy("media_id", "id")
-        .agg(F.min(F.struct("win", (~strong).alias("weak"))).alias("__hit"))
+        .agg(F.min(F.struct("win", (~F.col("__strong")).alias("weak"))).alias("__hit"))
     )
     onset_win = F.col("__hit.win") - F.when(F.col("__hit.weak"), 3).otherwise(0)
     onset = F.greatest(F.col("start"), onset_win * F.lit(step))

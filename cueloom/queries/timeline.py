@@ -11,7 +11,7 @@ from cueloom.operators import reconcile as R
 from cueloom.operators import words as W
 from cueloom.queries import views as V
 from cueloom.queries.registry import query, with_
-from cueloom.session import scratch_dir
+from cueloom.session import materialize, scratch_dir
 from cueloom.sources import pcm
 from cueloom.sources.signals import rms_levels, slice_signal
 
@@ -463,7 +463,7 @@ ONSET = """o as (select *, row_number() over (partition by media_id order by rms
       from scues c left join ons using (media_id, id)"""),
 )
 def refine_onsets(spark, d):
-    lv = rms_levels(V.samples(spark, d))
+    lv = materialize(rms_levels(V.samples(spark, d)))
     return C.refine_onsets(V.signal_cues(lv), lv).select(
         "media_id", "id", "start", F.col("volume_start.noise_floor").alias("noise_floor")
     )

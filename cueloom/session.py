@@ -61,6 +61,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage.
+
+    Parquet rather than a checkpoint: a checkpoint is a file of serialized rows, read whole
+    for every count and every column, and several times as large.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
