@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.text import strip
 from cueloom.functions.times import parse_ass_time
-from cueloom.plans.blocks import Ordered, last_seen, row_number, running_sum
+from cueloom.plans.blocks import Ordered, last_seen, running_sum
+from cueloom.session import materialize
 
 SECTION = r"^\[([^\]]+)\]\s*$"
 KEY = ["artifact", "media_id"]
@@ -21,49 +22,51 @@ def ass_file_lines(files: DataFrame) -> DataFrame:
 
 def read_ass(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dialogue events and parse problems of subtitle lines, in file order."""
-    stripped = strip(F.col("line"))
-    header = F.regexp_extract(stripped, SECTION, 1)
-    marked = lines.withColumns({
-        "__line": stripped,
-        "__header": F.when(stripped.rlike(SECTION), F.lower(strip(header))),
-    })
-    placed = Ordered.of(marked, KEY, ["line_no"]).scan(__section=last_seen(F.col("__header")))
-    is_dialogue = (
-        (F.col("__section") == "events")
-        & F.col("__header").isNull()
-        & F.lower("__line").startswith("dialogue:")
+    # A line's fields do not depend on its neighbours: it is parsed once, before it is placed.
+    stripped = lines.select(*KEY, "line_no", strip(F.col("line")).alias("__line"))
+    header = F.when(
+        F.col("__line").rlike(SECTION), F.lower(strip(F.regexp_extract("__line", SECTION, 1)))
     )
-    placed = placed.with_df(
-        placed.df.withColumn("__d", F.coalesce(is_dialogue, F.lit(False)).cast("long"))
-    )
-    rows = placed.scan(n=running_sum(F.col("__d"))).rows.where("__d = 1")
+    named = F.lower("__line").startswith("dialogue:")
     fields = F.split(F.substr("__line", F.lit(len("dialogue:") + 1)), ",", 10)
-    rows = rows.select(*KEY, "n", fields.alias("f"))
     text = F.filter(
         F.transform(F.split(F.try_element_at("f", F.lit(10)), r"\\[nN]"), strip), lambda x: x != ""
     )
-    parsed = rows.select(
-        *KEY, "n", (F.size("f") < 10).alias("short"),
+    parsed = stripped.select(
+        *KEY, "line_no", header.alias("__header"), F.when(named, fields).alias("f")
+    ).select(
+        *KEY, "line_no", "__header", F.col("f").isNotNull().alias("__named"),
+        (F.size("f") < 10).alias("short"),
         parse_ass_time(F.try_element_at("f", F.lit(2))).alias("start"),
         parse_ass_time(F.try_element_at("f", F.lit(3))).alias("end"),
         F.coalesce(strip(F.try_element_at("f", F.lit(5))), F.lit("")).alias("name"),
         F.try_element_at("f", F.lit(4)).alias("style"),
         text.alias("text_lines"),
     )
-    label = F.concat(F.lit("event "), F.col("n").cast("string"))
     untimed = F.col("start").isNull() | F.col("end").isNull()
     kind = (
         F.when(F.col("short") | untimed, "unparsable")
         .when(F.size("text_lines") == 0, "empty_text")
     )
+    placed = Ordered.of(parsed.withColumn("kind", kind), KEY, ["line_no"]).scan(
+        __section=last_seen(F.col("__header"))
+    )
+    event = F.coalesce((F.col("__section") == "events") & F.col("__named"), F.lit(False))
+    placed = placed.with_df(
+        placed.df.withColumns({
+            "__d": event.cast("long"), "__g": (event & F.col("kind").isNull()).cast("long"),
+        })
+    )
+    judged = materialize(
+        placed.scan(n=running_sum(F.col("__d")), pos=running_sum(F.col("__g"))).rows.where("__d = 1")
+    )
+    label = F.concat(F.lit("event "), F.col("n").cast("string"))
     message = (
         F.when(F.col("short"), F.concat(label, F.lit(" has fewer than 10 Dialogue fields")))
         .when(untimed, F.concat(label, F.lit(" has an invalid timestamp")))
         .otherwise(F.concat(label, F.lit(" has no subtitle text")))
     )
-    judged = parsed.withColumn("kind", kind)
-    good = judged.where("kind is null").select(*KEY, "n", "start", "end", "name", "style", "text_lines")
-    events = Ordered.of(good, KEY, ["n"]).scan(pos=row_number()).rows.select(
+    events = judged.where("kind is null").select(
         *KEY, "pos", "start", "end", "name", "style", "text_lines"
     )
     problems = judged.where("kind is not null").select(*KEY, "n", "kind", message.alias("message"))

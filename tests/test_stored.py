@@ -52,3 +52,23 @@ def test_onsets_do_not_depend_on_the_tiles_of_a_cue(spark, monkeypatch):
     assert any(whole[r[1]] != r[3] for r in rows)
     monkeypatch.setattr(C, "TILE", 8)
     assert starts() == whole
+
+
+def test_lines_are_placed_once_when_read(spark, monkeypatch):
+    from cueloom.sources import subtitles as T
+
+    text = "[Script Info]\nDialogue: 0,no event\n[Events]\n" + "\n".join([
+        "Dialogue: 0,0:00:01.00,0:00:02.00,Default,ann,0,0,0,,one\\Ntwo",
+        "Dialogue: 0,oops",
+        "Comment: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,no",
+        "dialogue: 0,0:00:03.00,0:00:04.00,Default,,0,0,0,, \\N ",
+        "Dialogue: 0,0:00:05.00,0:00:06.00,Default,,0,0,0,,a, b",
+    ])
+    placements, of = [], T.Ordered.of.__func__
+    monkeypatch.setattr(T.Ordered, "of", classmethod(lambda cls, *a, **k: placements.append(1) or of(cls, *a, **k)))
+    events, problems = T.read_ass(T.ass_file_lines(spark.createDataFrame([("s", 1, text)], "artifact string, media_id long, content string")))
+    assert [(r["pos"], r["start"], r["name"], r["text_lines"]) for r in events.orderBy("pos").collect()] == [
+        (1, 1.0, "ann", ["one", "two"]), (2, 5.0, "", ["a, b"]),
+    ]
+    assert [(r["n"], r["kind"]) for r in problems.orderBy("n").collect()] == [(2, "unparsable"), (3, "empty_text")]
+    assert len(placements) == 1
