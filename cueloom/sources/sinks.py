@@ -195,9 +195,12 @@ def publish_ass(
 def canonical_lines(lines: DataFrame, play_res: DataFrame | None = None) -> DataFrame:
     """Canonical form of parsed files: events sorted, header and fields rewritten."""
     events, problems = read_ass(lines)
-    clean = events.join(problems.select(*KEY).distinct(), KEY, "left_anti")
+    return _sorted_lines(events.join(problems.select(*KEY).distinct(), KEY, "left_anti"), play_res)
+
+
+def _sorted_lines(events: DataFrame, play_res: DataFrame | None) -> DataFrame:
     ranked = Ordered.of(
-        clean.withColumnRenamed("pos", "__pos"), KEY, ["start", "end", "name", "__pos"]
+        events.withColumnRenamed("pos", "__pos"), KEY, ["start", "end", "name", "__pos"]
     ).scan(pos=row_number())
     return render_ass(ranked.rows.drop("__pos"), play_res)
 
@@ -209,43 +212,55 @@ def canonicalize_ass(lines: DataFrame, play_res: DataFrame | None = None) -> Dat
     ends in a line break.
     """
     fixed = canonical_lines(lines, play_res)
+    return fixed.join(_differing(fixed, lines), KEY, "left_semi")
+
+
+def _differing(fixed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Keys of the files whose ``lines`` are not the ``fixed`` ones and a last empty line."""
     ends = fixed.groupBy(*KEY).agg((F.max("line_no") + 1).alias("line_no")).withColumn(
         "line", F.lit("")
     )
     whole = fixed.unionByName(ends.select(*KEY, "line_no", "line"))
     left = lines.select(*KEY, F.col("line_no").cast("long").alias("line_no"), F.col("line").alias("old"))
-    differing = (
+    return (
         whole.join(left, [*KEY, "line_no"], "full")
         .where(~F.col("line").eqNullSafe(F.col("old")))
         .select(*KEY)
         .distinct()
     )
-    return fixed.join(differing, KEY, "left_semi")
 
 
 def canonical_play_res(lines: DataFrame) -> DataFrame:
     """(artifact, media_id, width, height) of files already in canonical form."""
+    lines = materialize(lines)
+    stripped = lines.select(*KEY, "line_no", strip(F.col("line")).alias("__line"))
     section = F.when(
-        strip(F.col("line")).rlike(SECTION), F.lower(strip(F.regexp_extract(strip(F.col("line")), SECTION, 1)))
-    )
-    placed = Ordered.of(lines.withColumn("__h", section), KEY, ["line_no"]).scan(
-        __s=last_seen(F.col("__h"))
+        F.col("__line").rlike(SECTION), F.lower(strip(F.regexp_extract("__line", SECTION, 1)))
     )
     size = r"(?i)^PlayRes([XY])\s*:\s*(\d+)\s*$"
-    found = placed.rows.where((F.col("__s") == "script info") & strip(F.col("line")).rlike(size))
-    axis = F.upper(F.regexp_extract(strip(F.col("line")), size, 1))
-    value = F.regexp_extract(strip(F.col("line")), size, 2).cast("int")
+    # Only headings and sizes are placed: no other line opens a section.
+    marked = stripped.where(F.col("__line").rlike(SECTION) | F.col("__line").rlike(size)).select(
+        *KEY, "line_no", section.alias("__h"),
+        F.upper(F.regexp_extract("__line", size, 1)).alias("axis"),
+        F.regexp_extract("__line", size, 2).alias("value"),
+    )
+    placed = Ordered.of(marked, KEY, ["line_no"]).scan(__s=last_seen(F.col("__h")))
+    found = placed.rows.where("__s = 'script info' and __h is null")
+    axis, value = F.col("axis"), F.col("value").cast("int")
     res = found.groupBy(*KEY).agg(
         F.max_by(F.when(axis == "X", value), F.when(axis == "X", F.col("line_no"))).alias("width"),
         F.max_by(F.when(axis == "Y", value), F.when(axis == "Y", F.col("line_no"))).alias("height"),
     ).where("width is not null and height is not null")
     events, problems = read_ass(lines)
     whole = events.select(*KEY).distinct().join(problems.select(*KEY).distinct(), KEY, "left_anti")
-    candidates = res.join(whole, KEY)
+    candidates = materialize(res.join(whole, KEY))
+
     # Each file is compared at its own resolution, so the artifact joins the key.
-    keyed = lines.join(candidates, KEY).withColumn("media_id", F.concat_ws("\u0000", *KEY))
-    sizes = keyed.select("media_id", "width", "height").distinct()
-    off = canonicalize_ass(keyed.select(*KEY, "line_no", "line"), sizes).select("media_id").distinct()
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.join(candidates.select(*KEY), KEY).withColumn("media_id", F.concat_ws("\u0000", *KEY))
+
+    sizes = candidates.select(F.concat_ws("\u0000", *KEY).alias("media_id"), "width", "height").distinct()
+    off = _differing(_sorted_lines(keyed(events), sizes), keyed(lines)).select("media_id").distinct()
     return (
         candidates.withColumn("__k", F.concat_ws("\u0000", *KEY))
         .join(off.withColumnRenamed("media_id", "__k"), "__k", "left_anti")
