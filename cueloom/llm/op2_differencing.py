@@ -14,9 +14,9 @@ above, and a neighbour that shares ``copy_share`` or more of a page's text is ta
 copy of it and deletes nothing. Lines inside a marked article are never deleted.
 
 Neighbours are rows next to each other in the order of (host, path, url, page_id), which
-is range-sorted: a hot host spans many ranges. The first and last page of each range wait
-with their lines until those of the adjoining ranges are known (two rows a range at most;
-empty ranges are passed over), so the texts do not depend on where ranges end.
+is range-sorted: a hot host spans many ranges. The ends of the ranges are found from the keys
+alone; the first and last page of each range also go to the adjoining one, as neighbours
+only, so the texts do not depend on where ranges end.
 
 Defined results: null or empty html gives an empty text. A null url sorts first, under an
 empty host. Rows that repeat are handled one by one; equal pages are copies. Other columns
@@ -26,7 +26,7 @@ are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -35,8 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.store import stored
-
 COPY_SHARE = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -190,104 +188,95 @@ def differenced(lines: list[str], neighbours: list[list[str]], copy_share: float
     return [t for i, t in enumerate(lines) if i not in gone]
 
 
-_PAGES = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("begins", pa.bool_()),
-    ("ends", pa.bool_()), ("host", pa.string()), ("marked", pa.bool_()), ("lines", pa.list_(pa.string())),
-    ("gone", pa.list_(pa.int32())),
-])
-PAGES = (
-    "page_id long, url string, text string, part int, begins boolean, ends boolean, host string, marked boolean,"
-    " lines array<string>, gone array<int>"
-)
+_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+ORDER = ["host", "path", "url", "page_id"]
+
+
+def _key(host: str, path: str, url: str | None, page_id: int | None) -> tuple:
+    """Compares as Spark sorts: nulls first, strings by code point."""
+    return host, path, url is not None, url or "", page_id is not None, page_id or 0
+
+
+def _placer(lows: list[tuple], highs: list[tuple]):
+    """The ranges a page goes to: its own, then those whose first or last page it adjoins."""
+
+    def place(host: pa.Array, path: pa.Array, url: pa.Array, page_id: pa.Array) -> pa.Array:
+        out = []
+        for row in zip(host.to_pylist(), path.to_pylist(), url.to_pylist(), page_id.to_pylist()):
+            key = _key(*row)
+            own = bisect_right(lows, key) - 1
+            parts = [own]
+            if key == highs[own] and own + 1 < len(lows):
+                parts.append(own + 1)
+            if key == lows[own] and own:
+                parts.append(own - 1)
+            out.append(parts)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return place
 
 
 def _extract(copy_share: float):
-    """Texts of the pages inside a range; the lines of its first and last page."""
+    """Texts of a range's own pages; pages of the adjoining ranges are neighbours only."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None
         current: tuple | None = None
         held: list[dict] = []
 
-        def settle(after: tuple | None) -> dict:
-            page_id, url, host, part, lines, marked = current
-            near = [x[4] for x in (before, after) if x is not None and x[2] == host]
-            gone = set() if marked else deleted(lines, near, copy_share)
-            row = {"page_id": page_id, "url": url}
-            if before is None or after is None:
-                return row | {
-                    "part": part, "begins": before is None, "ends": after is None, "host": host, "marked": marked,
-                    "lines": lines, "gone": sorted(gone),
-                }
-            return row | {"text": "\n".join(t for i, t in enumerate(lines) if i not in gone)}
+        def settle(after: tuple | None) -> None:
+            page_id, url, host, _, own, lines, marked = current
+            if own:
+                near = [x[5] for x in (before, after) if x is not None and x[2] == host]
+                text = "\n".join(lines if marked else differenced(lines, near, copy_share))
+                held.append({"page_id": page_id, "url": url, "text": text})
 
         for batch in batches:
-            rows = zip(*[batch.column(c) for c in ("page_id", "url", "host", "part", "html")])
-            for page_id, url, host, part, html in rows:
-                row = (page_id.as_py(), url.as_py(), host.as_py(), part.as_py(), *blocks_of(html.as_py()))
+            rows = zip(*[batch.column(c) for c in ("page_id", "url", "host", "part", "own", "html")])
+            for *place, html in rows:
+                row = (*(c.as_py() for c in place), *blocks_of(html.as_py()))
                 if current is not None:
-                    held.append(settle(row))
-                    before = current
+                    same = row[3] == current[3]
+                    settle(row if same else None)
+                    before = current if same else None
                 current = row
                 if len(held) >= 500:
-                    yield pa.RecordBatch.from_pylist(held, _PAGES)
-                    held = []
+                    yield pa.RecordBatch.from_pylist(held, _TEXTS)
+                    held.clear()
         if current is not None:
-            held.append(settle(None))
+            settle(None)
         if held:
-            yield pa.RecordBatch.from_pylist(held, _PAGES)
+            yield pa.RecordBatch.from_pylist(held, _TEXTS)
 
     return texts
 
 
-def _finish(copy_share: float):
-    """Texts of first and last pages, from the pages of the adjoining ranges."""
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                near = [x[f"{side}_lines"] for side in ("before", "after")
-                        if x[f"{side}_lines"] is not None and x[f"{side}_host"] == x["host"]]
-                gone = set(x["gone"]) | (set() if x["marked"] else deleted(x["lines"], near, copy_share))
-                out.append("\n".join(t for i, t in enumerate(x["lines"]) if i not in gone))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"]
-            )
-
-    return texts
+def _located(pages: DataFrame) -> DataFrame:
+    """``pages`` with the host and path of the url."""
+    url, pattern = F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)"
+    return pages.withColumns({
+        "host": F.lower(F.regexp_extract(url, pattern, 1)), "path": F.regexp_extract(url, pattern, 2),
+    })
 
 
 def main_texts(pages: DataFrame, copy_share: float = COPY_SHARE) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
-    parts = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)", 1)
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)", 2)
-    placed = pages.select("page_id", "url", "html", F.lower(parts).alias("host"), path.alias("path"))
     spark = pages.sparkSession
-    order = ["host", "path", "url", "page_id"]
-    ranges = (
-        placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-        .sortWithinPartitions(*order).drop("path").withColumn("part", F.spark_partition_id())
-    )
-    found = stored(ranges.mapInArrow(_extract(copy_share), PAGES))
-    edges = found.where("lines is not null")
-    # One number per range that has pages.
-    parts = sorted(r["part"] for r in edges.where("begins").select("part").collect())
-    sides = spark.createDataFrame(
-        list(zip(parts, [None, *parts[:-1]], [*parts[1:], None])), "part int, before int, after int"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The ranges are those of the keys alone, so the pages are placed once and stored nowhere.
+    ends = (
+        _located(pages.select("page_id", "url")).repartitionByRange(n, *ORDER)
+        .withColumn("part", F.spark_partition_id()).groupBy("part")
+        .agg(F.min(F.struct(*ORDER)).alias("low"), F.max(F.struct(*ORDER)).alias("high"))
+        .collect()
     )
-
-    def side(name: str, flag: str) -> DataFrame:
-        return edges.where(flag).select(
-            F.col("part").alias(name), F.col("host").alias(f"{name}_host"), F.col("lines").alias(f"{name}_lines")
-        )
-
-    waiting = (
-        edges.join(sides, "part").withColumn("before", F.when(F.col("begins"), F.col("before")))
-        .withColumn("after", F.when(F.col("ends"), F.col("after")))
-        .join(side("before", "ends"), "before", "left").join(side("after", "begins"), "after", "left")
+    ends.sort(key=lambda r: _key(*r["low"]))
+    place = F.arrow_udf(_placer([_key(*r["low"]) for r in ends], [_key(*r["high"]) for r in ends]), "array<int>")
+    placed = _located(pages.select("page_id", "url", "html")).select(
+        "page_id", "url", "html", F.posexplode(place(*ORDER)).alias("copy", "part")
     )
-    inner = found.where("lines is null").select("page_id", "url", "text")
-    return inner.unionByName(
-        waiting.mapInArrow(_finish(copy_share), "page_id long, url string, text string")
+    ranges = placed.select("page_id", "url", "html", "part", (F.col("copy") == 0).alias("own"))
+    ranges = _located(ranges.repartitionById(max(1, len(ends)), "part")).sortWithinPartitions("part", *ORDER)
+    return ranges.drop("path").mapInArrow(
+        _extract(copy_share), "page_id long, url string, text string"
     ).withColumn("n_chars", F.length("text").cast("long"))

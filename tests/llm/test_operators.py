@@ -4,6 +4,7 @@ import gzip
 import io
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from cueloom.llm import (
     op7_paragraphs, op8_mixture, op9_projected, op10_licenses,
 )
 from cueloom.llm.store import stored
+from cueloom.session import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, vertex string, key int, root int, size int"
 LONG = " ".join(f"w{i % 997}x{i % 1009}" for i in range(60_000))
@@ -275,6 +277,17 @@ def test_pages_at_range_edges_have_both_neighbours(spark):
         assert sorted(got) == sorted(want.items())
 
 
+def test_page_texts_are_stored_nowhere(spark):
+    rows = [(i, f"http://h/{i % 40:02}", PAGE.format(f"<p>line {i}</p>")) for i in range(200)]
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
+    folder = Path(shared_dir(spark))
+    before = set(folder.rglob("*"))
+    got = [(r.page_id, r.text) for r in op2_differencing.main_texts(pages).collect()]
+    assert set(folder.rglob("*")) == before
+    assert sorted(got, key=str) == sorted([*((i, f"line {i}") for i in range(200)), (None, "")], key=str)
+    assert op2_differencing.main_texts(pages.where("false")).count() == 0
+
+
 def test_lcs_is_longest():
     rng = random.Random(2)
     for _ in range(200):
