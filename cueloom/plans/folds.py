@@ -31,6 +31,8 @@ def fold(placed: Ordered, reset: str, step: Step, decision_type: str = "boolean"
     local = Ordered(placed.df, [BLOCK, *by], order, 1)
     rows = local.scan(__seen=running_sum(F.col(reset).cast("int"))).df
     rows = rows.withColumn("__head", F.col("__seen") == 0).drop("__seen")
+    if placed.blocks > 1:
+        rows = materialize(rows)  # the tails, the marks and every round of heads read them
     columns = [c for c in rows.columns]
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields

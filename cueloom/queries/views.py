@@ -6,7 +6,10 @@ queries run on the skew the engine is built for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.plans.blocks import Ordered, row_number, running_sum
@@ -114,18 +117,28 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def running_ends(lengths: pa.Array) -> pa.Array:
+    """The running sums inside each list."""
+    values, at = lengths.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lengths).to_numpy())])
+    sums = np.concatenate([[0], np.cumsum(values)])
+    ends = sums[1:] - np.repeat(sums[at[:-1]], np.diff(at))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ends, pa.int64()))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = turns(spark, sf_dir).select(
-        "media_id", "conv_id", "turn", "first_word", "start_ms", "speaker", F.posexplode("toks").alias("pos", "tok")
+    ms = F.transform("toks", lambda x: (40 + 60 * F.char_length(x)).cast("long"))
+    # Summed inside the turn's row: a window over the exploded words would shuffle them all.
+    w = turns(spark, sf_dir).withColumn("ms", ms).withColumn(
+        "ends", F.arrow_udf(running_ends, "array<long>")("ms")
+    ).select(
+        "media_id", "first_word", "start_ms", "speaker",
+        F.posexplode(F.arrays_zip("toks", "ms", "ends")).alias("pos", "w"),
     )
-    ms = (40 + 60 * F.char_length("tok")).cast("long")
-    # One turn is one text: this window never holds more than a single row's words.
-    within = Window.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("start_ms") + F.sum(ms).over(within)
+    end = F.col("start_ms") + F.col("w.ends")
     return w.select(
         "media_id", (F.col("first_word") + F.col("pos")).cast("int").alias("ordinal"),
-        ((end - ms).cast("double") / 1000).alias("start"), (end.cast("double") / 1000).alias("end"),
-        F.concat("tok", F.lit(" ")).alias("text"), "speaker",
+        ((end - F.col("w.ms")).cast("double") / 1000).alias("start"), (end.cast("double") / 1000).alias("end"),
+        F.concat("w.toks", F.lit(" ")).alias("text"), "speaker",
     )
 
 

@@ -4,9 +4,16 @@ import random
 
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from cueloom.operators import cues as C
+from cueloom.operators import words as W
+from cueloom.plans import blocks
+from cueloom.queries import views
 from cueloom.session import materialize
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_stored_tables_are_columns_not_serialized_rows(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
@@ -72,3 +79,28 @@ def test_lines_are_placed_once_when_read(spark, monkeypatch):
     ]
     assert [(r["n"], r["kind"]) for r in problems.orderBy("n").collect()] == [(2, "unparsable"), (3, "empty_text")]
     assert len(placements) == 1
+
+
+def test_words_are_timed_without_a_shuffle_of_their_own(spark):
+    lengths = pa.array([[3, 4], [5], [1, 1, 1]], pa.list_(pa.int64()))
+    assert views.running_ends(lengths).to_pylist() == [[3, 7], [5], [1, 2, 3]]
+    assert views.running_ends(lengths.slice(1)).to_pylist() == [[5], [1, 2, 3]]
+    plan = views.words(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan[: plan.index("Generate")]
+
+
+def test_segments_place_the_words_once(spark, monkeypatch):
+    placed = []
+
+    def of(df, *args, kept=blocks.Ordered.of):
+        placed.append("text" in df.columns)
+        return kept(df, *args)
+
+    words = spark.createDataFrame(
+        [(1, i, i * 0.5, i * 0.5 + 0.4, "ab. " if i % 4 == 3 else "ab ", "s") for i in range(10)],
+        "media_id long, ordinal long, start double, end double, text string, speaker string",
+    )
+    monkeypatch.setattr(blocks.Ordered, "of", of)
+    got = W.segment_words(words).select("first_word", "last_word").collect()
+    assert sorted(map(tuple, got)) == [(0, 3), (4, 7), (8, 9)]
+    assert placed.count(True) == 1
