@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.text import norm_key_b
@@ -10,9 +12,10 @@ from cueloom.plans.blocks import Ordered, lag, lead, row_number
 from cueloom.plans.chains import path_roots
 from cueloom.session import materialize
 
-# Container header bytes, time tolerance, tie tolerance, votes needed.
+# Container header bytes, time tolerance, tolerances in a cell, tie tolerance, votes needed.
 HEADER_BYTES = 45
 MATCH_TOLERANCE = 0.6
+CELL = 4
 TIE = 1e-6
 TIE_RELATIVE = 1e-9
 MIN_VOTES = 2
@@ -87,6 +90,21 @@ def _absolute(chunk_words: DataFrame, times: DataFrame) -> DataFrame:
     })
 
 
+def _zones() -> tuple[Column, Column]:
+    """Whether a word touches the overlap with the chunk before, and with the one after."""
+    before = (
+        (F.col("c_start") < F.col("prev_end"))
+        & (F.col("end") >= F.col("c_start"))
+        & (F.col("start") <= F.col("prev_end"))
+    )
+    after = (
+        (F.col("next_start") < F.col("c_end"))
+        & (F.col("end") >= F.col("next_start"))
+        & (F.col("start") <= F.col("c_end"))
+    )
+    return F.coalesce(before, F.lit(False)), F.coalesce(after, F.lit(False))
+
+
 def match_overlap_words(words: DataFrame) -> DataFrame:
     """Reciprocal unique-nearest pairs of equal words in adjacent overlapping chunks.
 
@@ -96,27 +114,37 @@ def match_overlap_words(words: DataFrame) -> DataFrame:
     Copies with one key and one time tie with each other, so they shrink to a single row
     with a count before the join; pairs are formed only within the tolerance.
     """
-    keyed = words.withColumn("key", norm_key_b(F.col("text"))).where("key <> ''")
-    right = keyed.where(
-        (F.col("c_start") < F.col("prev_end"))
-        & (F.col("end") >= F.col("c_start"))
-        & (F.col("start") <= F.col("prev_end"))
-    ).select("media_id", F.col("chunk").alias("k"), "key", "start", "end", "pos")
-    left = keyed.where(
-        (F.col("next_start") < F.col("c_end"))
-        & (F.col("end") >= F.col("next_start"))
-        & (F.col("start") <= F.col("c_end"))
-    ).select("media_id", (F.col("chunk") + 1).alias("k"), "key", "start", "end", "pos")
+    return _matches(_keyed(words), []).select("media_id", "chunk", "pos", "prev_pos")
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    """Adds before and after, as ``_zones``, and the key of words in an overlap."""
+    before, after = _zones()
+    return words.withColumns({"before": before, "after": after}).withColumn(
+        "key", norm_key_b(F.when(F.col("before") | F.col("after"), F.col("text")))
+    )
 
-    def shrink(side):
-        return side.groupBy("media_id", "k", "key", "start", "end").agg(
-            F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")
+
+def _matches(keyed: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The matches with the columns ``keep`` of the later word and, as prev_, of the earlier."""
+    # Cells of several tolerances: most words reach into one cell only.
+    width, reach = CELL * MATCH_TOLERANCE, MATCH_TOLERANCE * 1.001
+    around = F.explode(F.array_distinct(F.array(
+        F.floor((F.col("start") - reach) / width), F.floor((F.col("start") + reach) / width)
+    )))
+
+    def shrink(side, chunk, cell):
+        # Placed for the join below, so that copies shrink without a shuffle of their own.
+        place = ["media_id", "k", "key", "cell"]
+        return (
+            side.where("key <> ''")
+            .select("media_id", chunk.alias("k"), "key", cell.alias("cell"), "start", "end", "pos", *keep)
+            .repartition(*place).groupBy(*place, "start", "end")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", *keep)).alias("w"))
         )
 
-    cell = F.floor(F.col("start") / MATCH_TOLERANCE)
-    around = F.explode(F.array(cell - 1, cell, cell + 1))
-    l_side = shrink(left).withColumn("cell", around).alias("l")
-    r_side = shrink(right).withColumn("cell", cell).alias("r")
+    l_side = shrink(keyed.where("after"), F.col("chunk") + 1, around).alias("l")
+    r_side = shrink(keyed.where("before"), F.col("chunk"), F.floor(F.col("start") / width)).alias("r")
     near = (
         (F.col("r.start") - MATCH_TOLERANCE <= F.col("l.start"))
         & (F.col("l.start") <= F.col("r.start") + MATCH_TOLERANCE)
@@ -131,12 +159,16 @@ def match_overlap_words(words: DataFrame) -> DataFrame:
         & near,
     ).select(
         F.col("r.media_id").alias("media_id"), F.col("r.k").alias("chunk"),
-        F.col("r.pos").alias("pos"), F.col("l.pos").alias("prev_pos"),
+        F.col("r.w.pos").alias("pos"), F.col("l.w.pos").alias("prev_pos"),
         F.col("r.n").alias("r_n"), F.col("l.n").alias("l_n"),
+        *[F.col(f"r.w.{c}").alias(c) for c in keep],
+        *[F.col(f"l.w.{c}").alias(f"prev_{c}") for c in keep],
         (
             F.abs(F.col("l.start") - F.col("r.start")) + F.abs(F.col("l.end") - F.col("r.end"))
         ).alias("d"),
     )
+    # Both windows lie inside a chunk, so its pairs are placed once.
+    pairs = pairs.repartition("media_id", "chunk")
     # The candidates of one word are the distinct times of its token around it, so these
     # groups are small; rank and runner-up decide whether the nearest is unique.
     for_right = Window.partitionBy("media_id", "chunk", "pos").orderBy("d", "prev_pos")
@@ -158,24 +190,28 @@ def match_overlap_words(words: DataFrame) -> DataFrame:
         (F.col("r_rank") == 1) & (F.col("l_rank") == 1)
         & (F.col("l_n") == 1) & (F.col("r_n") == 1)
         & ~tied("r_second") & ~tied("l_second")
-    ).select("media_id", "chunk", "pos", "prev_pos")
+    ).select("media_id", "chunk", "pos", "prev_pos", *keep, *[f"prev_{c}" for c in keep])
 
 
 def map_speakers(words: DataFrame, matches: DataFrame) -> DataFrame:
     """(media_id, chunk, speaker, global_speaker).
 
+    ``matches`` may bring the speaker and prev_speaker of its words; else they are looked up.
     Inside a chunk different labels never share a global id, so the votes can be judged on
     the labels of the two chunks alone; the global id is then the root of the chain of
     accepted links, numbered by first appearance.
     """
     named = words.where("speaker is not null").select("media_id", "chunk", "pos", "speaker")
-    earlier = named.select(
-        "media_id", (F.col("chunk") + 1).alias("chunk"), F.col("pos").alias("prev_pos"),
-        F.col("speaker").alias("prev_speaker"),
-    )
+    if "prev_speaker" not in matches.columns:
+        earlier = named.select(
+            "media_id", (F.col("chunk") + 1).alias("chunk"), F.col("pos").alias("prev_pos"),
+            F.col("speaker").alias("prev_speaker"),
+        )
+        matches = matches.join(named, ["media_id", "chunk", "pos"]).join(
+            earlier, ["media_id", "chunk", "prev_pos"]
+        )
     votes = (
-        matches.join(named, ["media_id", "chunk", "pos"])
-        .join(earlier, ["media_id", "chunk", "prev_pos"])
+        matches.where("speaker is not null and prev_speaker is not null")
         .groupBy("media_id", "chunk", "speaker", "prev_speaker")
         .agg(F.count(F.lit(1)).alias("votes"))
     )
@@ -220,16 +256,23 @@ def map_speakers(words: DataFrame, matches: DataFrame) -> DataFrame:
 def merge_chunks(chunks: DataFrame, chunk_words: DataFrame) -> DataFrame:
     """One word stream from overlapping chunks, speakers reconciled, ordinals dense.
 
-    ``chunk_words``: media_id, chunk, pos, start, end (relative to the chunk), text, speaker.
+    ``chunk_words``: media_id, chunk, pos (unique in its chunk), start, end (relative to the
+    chunk), text, speaker.
+
+    A word in no match stays if its chunk owns its time, so only words in an overlap meet
+    the matches; of matched words one stays.
     """
     times = _chunk_times(chunks)
-    words = materialize(_absolute(chunk_words, times))
+    left_cut = (F.col("prev_end") + F.col("c_start")) / 2
+    right_cut = (F.col("c_end") + F.col("next_start")) / 2
+    middle = (F.col("start") + F.col("end")) / 2
+    owned = (left_cut.isNull() | (left_cut <= middle)) & (right_cut.isNull() | (middle < right_cut))
+    words = materialize(_keyed(_absolute(chunk_words, times).withColumn("owned", owned)))
     single = F.col("prev_end").isNull() & F.col("next_start").isNull()
-    alone = words.where(single).select(
-        "media_id", "chunk", "pos", "start", "end", "text", "speaker"
-    )
+    columns = ["media_id", "chunk", "pos", "start", "end", "text", "speaker"]
+    alone = words.where(single).select(*columns)
     many = words.where(~single)
-    matches = materialize(match_overlap_words(many))
+    matches = materialize(_matches(many, ["speaker", "owned"]))
     mapping = map_speakers(many, matches)
 
     def node(chunk, pos):
@@ -239,30 +282,30 @@ def merge_chunks(chunks: DataFrame, chunk_words: DataFrame) -> DataFrame:
 
     links = matches.select(
         node(F.col("chunk"), F.col("pos")).alias("node"),
-        node(F.col("chunk") - 1, F.col("prev_pos")).alias("parent"),
+        node(F.col("chunk") - 1, F.col("prev_pos")).alias("parent"), "owned", "prev_owned",
     )
-    roots = path_roots(links, "node", "parent")
-    left_cut = (F.col("prev_end") + F.col("c_start")) / 2
-    right_cut = (F.col("c_end") + F.col("next_start")) / 2
-    middle = (F.col("start") + F.col("end")) / 2
-    owned = (left_cut.isNull() | (left_cut <= middle)) & (right_cut.isNull() | (middle < right_cut))
-    variants = (
-        many.withColumn("node", node(F.col("chunk"), F.col("pos")))
-        .withColumn("owned", owned)
-        .join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-        .join(mapping, ["media_id", "chunk", "speaker"], "left")
+    roots = path_roots(links, "node", "parent", ["parent", "owned", "prev_owned"])
+
+    def member(at, owned):
+        return F.struct((~F.col(owned)).alias("u"), F.col(f"{at}.chunk"), F.col(f"{at}.pos"))
+
+    # Every node is a member of its path; the root comes with the node whose parent it is.
+    mine, first = member("node", "owned"), member("parent", "prev_owned")
+    ends = F.col("parent") == F.col("root")
+    members = roots.select(
+        "root", F.explode(F.when(ends, F.array(mine, first)).otherwise(F.array(mine))).alias("m")
     )
-    row = F.struct("chunk", "pos", "start", "end", "text", F.col("global_speaker").alias("speaker"))
-    kept = (
-        variants.groupBy("media_id", "root")
-        .agg(
-            F.min_by(row, F.struct((~F.col("owned")).alias("u"), "chunk", "pos")).alias("w"),
-            F.max("owned").alias("any_owned"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .where(F.col("any_owned") | (F.col("n") > 1))
-        .select("media_id", "w.*")
+    best = F.min("m").over(Window.partitionBy("root"))
+    fate = members.select(
+        F.col("root.media_id").alias("media_id"), "m.chunk", "m.pos", (F.col("m") == best).alias("wins")
+    )
+    inside = (
+        many.where("before or after").join(fate, ["media_id", "chunk", "pos"], "left")
+        .where(F.coalesce("wins", "owned")).select(*columns)
+    )
+    kept = inside.unionByName(many.where("not (before or after) and owned").select(*columns))
+    kept = kept.join(mapping, ["media_id", "chunk", "speaker"], "left").select(
+        *columns[:-1], F.col("global_speaker").alias("speaker")
     )
     return (
         Ordered.of(kept.unionByName(alone), ["media_id"], ["start", "end", "chunk", "pos"])

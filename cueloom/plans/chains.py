@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,25 +12,28 @@ from pyspark.sql import functions as F
 from cueloom.session import materialize, spread
 
 
-def path_roots(links: DataFrame, node: str, parent: str) -> DataFrame:
-    """(node, root) for nodes that each have at most one parent.
+def path_roots(
+    links: DataFrame, node: str, parent: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(node, root, keep) for nodes that each have at most one parent.
 
     Pointer doubling: every round halves the remaining distance, so a path of length n
     takes log2(n) rounds of an equi-join on unique keys.
     """
-    current = links.select(node, F.col(parent).alias("root"))
+    current = links.select(node, F.col(parent).alias("root"), *keep)
     while True:
         up = current.select(F.col(node).alias("__n"), F.col("root").alias("__up"))
         current = materialize(
             current.join(up, F.col("root") == F.col("__n"), "left").select(
                 node,
                 F.coalesce("__up", "root").alias("root"),
+                *keep,
                 F.col("__up").isNotNull().alias("__moved"),
             )
         )
         if current.where("__moved").limit(1).count() == 0:
-            return current.select(node, "root")
-        current = current.select(node, "root")
+            return current.select(node, "root", *keep)
+        current = current.select(node, "root", *keep)
 
 
 # jump(block_start, size, total, marks) -> (next position, forced) arrays of length size

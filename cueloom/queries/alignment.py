@@ -260,9 +260,11 @@ def chunked_words(spark, d):
     # 5999 frames per chunk, 2500 of overlap: chunk k starts at k * 34.99 s.
     first = F.greatest(F.lit(0), F.ceil((F.col("start") - 59.99) / 34.99))
     last = F.floor(F.col("start") / 34.99)
+    # Chunks are numbered without gaps, so the last one of each recording bounds the words.
+    ends = plan.groupBy("media_id").agg(F.max("chunk").alias("end_chunk"))
     placed = words.withColumn("chunk", F.explode(F.sequence(first, last))).join(
-        plan.select("media_id", "chunk"), ["media_id", "chunk"]
-    )
+        F.broadcast(ends), "media_id"
+    ).where("chunk <= end_chunk")
     placed = placed.where((F.col("ordinal") + F.col("chunk") * 5) % 9 != 0)
     drift = F.col("chunk") % 3 * 0.05
     local = F.concat(
@@ -332,8 +334,8 @@ def match_overlap_words(spark, d):
 @query("map_chunk_speakers", with_(V.WORDS, CHUNKED, SPEAKERS, recursive=True, select="select * from gs"))
 def map_chunk_speakers(spark, d):
     plan, rows = chunked_words(spark, d)
-    absolute = materialize(K._absolute(rows, K._chunk_times(plan)))
-    return K.map_speakers(absolute, materialize(K.match_overlap_words(absolute)))
+    absolute = materialize(K._keyed(K._absolute(rows, K._chunk_times(plan))))
+    return K.map_speakers(absolute, materialize(K._matches(absolute, ["speaker"])))
 
 
 @query(

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 import pyarrow as pa
 
+from cueloom.operators import chunks as K
 from cueloom.operators import cues as C
 from cueloom.operators import words as W
 from cueloom.plans import blocks
-from cueloom.queries import views
+from cueloom.queries import alignment, views
 from cueloom.session import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +105,20 @@ def test_segments_place_the_words_once(spark, monkeypatch):
     got = W.segment_words(words).select("first_word", "last_word").collect()
     assert sorted(map(tuple, got)) == [(0, 3), (4, 7), (8, 9)]
     assert placed.count(True) == 1
+
+
+def test_votes_and_members_come_with_the_matches(spark, monkeypatch):
+    plan, rows = alignment.chunked_words(spark, SF)
+    found, kept = [], K.map_speakers
+
+    def seen(words, matches):
+        found.append(matches)
+        return kept(words, matches)
+
+    monkeypatch.setattr(K, "map_speakers", seen)
+    K.merge_chunks(plan, rows)
+    names = found[0].columns
+    assert {"speaker", "prev_speaker", "owned", "prev_owned"} <= set(names)
+    bare = kept(K._absolute(rows, K._chunk_times(plan)), found[0].select(*names[:4]))
+    brought = kept(K._absolute(rows, K._chunk_times(plan)), found[0])
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, brought.collect()))
