@@ -122,3 +122,20 @@ def test_votes_and_members_come_with_the_matches(spark, monkeypatch):
     bare = kept(K._absolute(rows, K._chunk_times(plan)), found[0].select(*names[:4]))
     brought = kept(K._absolute(rows, K._chunk_times(plan)), found[0])
     assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, brought.collect()))
+
+
+def test_squeeze_repair_places_no_texts(spark, monkeypatch):
+    placed = []
+
+    def of(df, *args, kept=blocks.Ordered.of):
+        placed.append(df.columns)
+        return kept(df, *args)
+
+    words = spark.createDataFrame(
+        [(1, 0, 0.0, 0.5, "ab ", "s"), (1, 1, 0.5, 0.51, "abc ", "s"), (1, 2, 3.0, 3.4, "cd ", "t")],
+        "media_id long, ordinal long, start double, end double, text string, speaker string",
+    )
+    monkeypatch.setattr(blocks.Ordered, "of", of)
+    got = {r.ordinal: (r.start, round(r.end, 6)) for r in W.repair_squeezed(words).collect()}
+    assert got == {0: (0.0, 0.5), 1: (0.5, 0.68), 2: (3.0, 3.4)}
+    assert placed and not any("text" in c for c in placed)
