@@ -7,6 +7,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -358,3 +359,21 @@ def test_pipeline_stages(spark):
             assert docs.columns == before.columns
         assert docs.count() <= before.count()
     assert docs.where("taken <= 0").count() == 0
+
+
+def test_paragraphs_that_meet_only_their_neighbours_are_not_candidates(spark):
+    def shared(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["content"])
+        band = op7_paragraphs._bander(26, 24, 8, 2, 0.95)  # paragraphs one word apart stay under it
+        rows = pa.Table.from_batches(list(band(iter([batch])))).sort_by("root")
+        out = op7_paragraphs._shared(iter(rows.to_batches(max_chunksize=7)))
+        return pa.Table.from_batches(list(out)).to_pandas()
+
+    alone = [" ".join(prose(8000 + i, 400)) for i in range(10)]
+    assert not len(shared(alone))
+    # A copy with a changed word meets the original, and a text that repeats itself meets itself.
+    words = alone[0].split()
+    edited = " ".join([*words[:200], "changed", *words[201:]])
+    met = shared([*alone, edited])
+    assert len(met) and met.groupby("root").vertex.nunique().min() > 1
+    assert len(shared([" ".join(["a", "b", "c", "d", "e", "f", "g"] * 20)]))
