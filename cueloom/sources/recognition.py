@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cueloom.functions.text import cue_id, norm_speaker, strip
 from cueloom.functions.times import parse_time
-from cueloom.plans.blocks import Ordered, row_number, running_sum
+from cueloom.plans.blocks import Ordered, row_number
 
 INTEGER_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
@@ -57,9 +57,14 @@ def read_segments(
 
     first, second = entries("transcription"), entries("segments")
     chosen = F.when(F.size(first) > 0, first).otherwise(second)
-    rows = files.select("media_id", F.posexplode(chosen).alias("pos", "e"))
     e = F.col("e")
 
+    def source(v):
+        return strip(F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit("")))
+
+    # A file is one row: its cues are numbered inside the row.
+    rows = files.select("media_id", F.posexplode(F.filter(chosen, lambda v: source(v) != "")).alias("pos", "e"))
+
     def time(stamp, seconds, default):
         return F.coalesce(
             _seconds(_field(e, f"$.timestamps.{stamp}"), False),
@@ -71,13 +76,11 @@ def read_segments(
     begin = time("from", "start", F.lit(0.0))
     timed = rows.select(
         "media_id", "pos", begin.alias("__b"), time("to", "end", begin).alias("__e"),
-        strip(F.coalesce(F.try_variant_get(e, "$.text", "string"), F.lit(""))).alias("source"),
-        F.to_json("e").alias("metadata"),
-    ).where("source <> ''")
-    numbered = Ordered.of(timed, ["media_id"], ["pos"]).scan(__n=row_number()).rows
+        source(e).alias("source"), F.to_json("e").alias("metadata"),
+    )
     start = F.col("__b") + F.lit(offset)
-    return numbered.select(
-        "media_id", cue_id(F.col("__n") - 1 + ordinal_offset).alias("id"), start.alias("start"),
+    return timed.select(
+        "media_id", cue_id(F.col("pos") + ordinal_offset).alias("id"), start.alias("start"),
         F.greatest(start, F.col("__e") + F.lit(offset)).alias("end"), "source", "metadata",
     )
 
@@ -106,30 +109,36 @@ WORD_ITEMS = (
 
 
 def read_words_spaced(files: DataFrame, offset: float = 0.0) -> DataFrame:
-    """Word items: audio events go, a spacing joins the word before it."""
-    items = files.select(
-        "media_id", F.posexplode(F.from_json("content", WORD_ITEMS)).alias("pos", "i")
-    ).select("media_id", "pos", "i.*").withColumn("type", F.coalesce("type", F.lit("word")))
-    kept = items.where("type <> 'audio_event'")
-    placed = Ordered.of(kept, ["media_id"], ["pos"]).scan(
-        __word=running_sum((F.col("type") != "spacing").cast("long"))
+    """Word items: audio events go, a spacing joins the word before it.
+
+    A file is one row, so its words are joined and numbered inside the row.
+    """
+    def kind(x):
+        return F.coalesce(x["type"], F.lit("word"))
+
+    items = F.filter(F.from_json("content", WORD_ITEMS), lambda x: kind(x) != "audio_event")
+    kept = files.select("media_id", items.alias("items"))
+    heads = F.filter(
+        F.transform("items", lambda x, i: F.when(kind(x) != "spacing", i + 1)), lambda i: i.isNotNull()
     )
-    parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t"))))
-    is_word = F.when(F.col("type") != "spacing", F.struct("start", "end", "speaker_id", "logprob"))
-    rows = (
-        placed.rows.where("__word > 0")
-        .groupBy("media_id", "__word")
-        .agg(
-            F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"),
-            F.first(is_word, ignorenulls=True).alias("w"),
-        )
+    placed = kept.select(
+        "media_id", "items", F.transform("items", lambda x: F.coalesce(x["text"], F.lit(""))).alias("t"), heads.alias("at")
     )
+
+    def word(i, k):
+        end = F.coalesce(F.get("at", k + 1), F.size("items") + 1)
+        w = F.get("items", i - 1)
+        return F.struct(
+            F.array_join(F.slice("t", i, end - i), "").alias("text"), w["start"].alias("start"), w["end"].alias("end"),
+            w["speaker_id"].alias("speaker_id"), w["logprob"].alias("logprob"),
+        )
+
+    rows = placed.select("media_id", F.posexplode(F.transform("at", word)).alias("ordinal", "w"))
     start = F.coalesce("w.start", F.lit(0.0)) + F.lit(offset)
     end = F.coalesce(F.col("w.end") + F.lit(offset), start + F.lit(offset))
     return rows.select(
-        "media_id", (F.col("__word") - 1).cast("int").alias("ordinal"), start.alias("start"),
-        F.greatest(start, end).alias("end"), "text", norm_speaker(F.col("w.speaker_id")).alias("speaker"),
-        F.col("w.logprob").alias("logprob"),
+        "media_id", "ordinal", start.alias("start"), F.greatest(start, end).alias("end"), "w.text",
+        norm_speaker(F.col("w.speaker_id")).alias("speaker"), F.col("w.logprob").alias("logprob"),
     )
 
 
@@ -140,22 +149,27 @@ SENTENCE_DOC = (
 
 
 def read_words_sentences(files: DataFrame, diarize: bool = True) -> DataFrame:
-    """Transcripts, sentences, words; milliseconds to seconds; blanks dropped."""
-    rows = (
-        files.select("media_id", F.from_json("content", SENTENCE_DOC).alias("d"))
-        .select("media_id", F.posexplode("d.transcripts").alias("a", "t"))
-        .select("media_id", "a", F.posexplode("t.sentences").alias("b", "s"))
-        .select("media_id", "a", "b", "s.speaker_id", F.posexplode("s.words").alias("c", "w"))
-    )
-    text = F.concat(F.coalesce("w.text", F.lit("")), F.coalesce("w.punctuation", F.lit("")))
-    speaker = F.col("speaker_id") if diarize else F.lit(None).cast("string")
-    words = rows.select(
-        "media_id", "a", "b", "c", (F.col("w.begin_time") / 1000).alias("start"),
-        (F.col("w.end_time") / 1000).alias("end"), text.alias("text"), speaker.alias("speaker"),
-    ).where(strip(F.col("text")) != "")
-    placed = Ordered.of(words, ["media_id"], ["a", "b", "c"]).scan(__n=row_number())
-    return placed.rows.select(
-        "media_id", (F.col("__n") - 1).cast("int").alias("ordinal"), "start", "end", "text", "speaker"
+    """Transcripts, sentences, words; milliseconds to seconds; blanks dropped.
+
+    A file is one row, so its words are numbered inside the row.
+    """
+    def all_of(parts, part):
+        """The words of all parts in order; a part without a list has none."""
+        return F.flatten(F.filter(F.transform(parts, part), lambda x: x.isNotNull()))
+
+    def word(w, speaker):
+        text = F.concat(F.coalesce(w["text"], F.lit("")), F.coalesce(w["punctuation"], F.lit("")))
+        return F.struct(w["begin_time"].alias("begin"), w["end_time"].alias("end"), text.alias("text"), speaker.alias("speaker"))
+
+    def words_of(sentence):
+        speaker = sentence["speaker_id"] if diarize else F.lit(None).cast("string")
+        return F.transform(sentence["words"], lambda w: word(w, speaker))
+
+    docs = files.select("media_id", F.from_json("content", SENTENCE_DOC)["transcripts"].alias("d"))
+    words = all_of(F.col("d"), lambda t: all_of(t["sentences"], words_of))
+    return (
+        docs.select("media_id", F.posexplode(F.filter(words, lambda w: strip(w["text"]) != "")).alias("ordinal", "w"))
+        .select("media_id", "ordinal", (F.col("w.begin") / 1000).alias("start"), (F.col("w.end") / 1000).alias("end"), "w.text", "w.speaker")
     )
 
 

@@ -335,3 +335,25 @@ def test_canonical_files_keep_equal_events_in_order(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(con.execute(f"select line_no, line from ({SQL['canonicalize_ass']})").fetchall())
+
+
+def test_files_are_read_inside_their_rows(spark):
+    """Null items and fields, spacings first and in a row, files without words; no shuffle."""
+    spaced = [None, {"type": "spacing", "text": "-"}, {"type": "audio_event", "text": "(x)"}, {"type": "spacing"}, {"type": "spacing", "text": " "},
+              {"type": "word", "start": 1.0}, {"text": "b", "start": 2.0, "end": 3.0}]
+    files = spark.createDataFrame(
+        [("a", json.dumps(spaced)), ("b", json.dumps([{"type": "spacing", "text": " "}])), ("c", None), ("d", "[]"), ("e", json.dumps(spaced[5:]))],
+        "media_id string, content string")
+    words = recognition.read_words_spaced(files)
+    got = sorted((r.media_id, r.ordinal, r.text, r.start, r.end) for r in words.collect())
+    assert got == [("a", 0, "- ", 0.0, 0.0), ("a", 1, "", 1.0, 1.0), ("a", 2, "b", 2.0, 3.0), ("e", 0, "", 1.0, 1.0), ("e", 1, "b", 2.0, 3.0)]
+    w = {"text": "a", "punctuation": ".", "begin_time": 1000, "end_time": 2000}
+    doc = {"transcripts": [None, {"sentences": None}, {"sentences": [
+        {"speaker_id": "x", "words": [w, {"text": " "}, None]}, {"words": None}, None, {"speaker_id": "y", "words": [{"punctuation": "!"}]}]}]}
+    sentences = recognition.read_words_sentences(spark.createDataFrame([("a", json.dumps(doc)), ("b", "{}"), ("c", None)], "media_id string, content string"))
+    got = [(r.media_id, r.ordinal, r.start, r.end, r.text, r.speaker) for r in sentences.collect()]
+    assert got == [("a", 0, 1.0, 2.0, "a.", "x"), ("a", 1, None, None, "!", "y")]
+    segments = recognition.read_segments(files)
+    for frame in (words, sentences, segments):
+        assert "Exchange" not in frame._jdf.queryExecution().toString()
+        assert "Window" not in frame._jdf.queryExecution().toString()
