@@ -15,17 +15,22 @@ from cueloom.plans.blocks import Ordered, row_number
 from cueloom.session import materialize
 
 
-def _owners(cues: DataFrame) -> DataFrame:
-    """The cue that owns each word; of several, the one that landed last."""
-    return (
-        cues.where("first_word <= last_word")
-        .select(
-            "media_id", "landed", F.struct("id", "start", "end", "speaker", "first_word").alias("c"),
-            F.explode(F.sequence("first_word", "last_word")).alias("word"),
-        )
-        .groupBy("media_id", "word")
-        .agg(F.max_by("c", "landed").alias("c"))
-        .select("media_id", "word", "c.*")
+def _known(cues: DataFrame, words: DataFrame) -> DataFrame:
+    """(media_id, word, landed, start, spoken): each word with the last landing of a cue over it.
+
+    Words and the ranges of cues meet in one grouping of numbers; what else is known of a cue
+    is looked up for the few words beside a cut.
+    """
+    none = F.lit(None)
+    spoken = words.select(
+        "media_id", F.col("ordinal").cast("long").alias("word"), none.cast("long").alias("landed"), "start", F.lit(1).alias("spoken")
+    )
+    covered = cues.select(
+        "media_id", F.explode(F.sequence(F.col("first_word").cast("long"), F.col("last_word").cast("long"))).alias("word"),
+        F.col("landed").cast("long").alias("landed"), none.cast("double").alias("start"), none.cast("int").alias("spoken"),
+    )
+    return spoken.unionByName(covered).groupBy("media_id", "word").agg(
+        F.max("landed").alias("landed"), F.min("start").alias("start"), F.max("spoken").alias("spoken")
     )
 
 
@@ -39,25 +44,30 @@ def settle(
     with. ``words``: media_id, ordinal, start. ``closed``: media_id of ended streams; None
     means all are.
     """
-    owners = materialize(_owners(cues))
+    ranges = cues.where("first_word <= last_word")
+    known = materialize(_known(ranges, words))
+    owner = ranges.select(
+        "media_id", F.col("landed").cast("long").alias("landed"), F.struct("id", "start", "end", "speaker", "first_word").alias("c")
+    )
     merged = junctions.groupBy("media_id", "ordinal").agg(F.max("forced").alias("forced"))
+
+    def side(k: int):
+        return F.first(F.when(F.col("side") == k, F.col("c")), ignorenulls=True)
+
     sides = (
-        merged.alias("j")
-        .join(owners.alias("l"), (F.col("j.media_id") == F.col("l.media_id")) & (F.col("j.ordinal") == F.col("l.word")), "left")
-        .join(owners.alias("r"), (F.col("j.media_id") == F.col("r.media_id")) & (F.col("j.ordinal") + 1 == F.col("r.word")), "left")
-    )
+        merged.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("word", (F.col("ordinal") + F.col("side")).cast("long"))
+        .join(known.select("media_id", "word", "landed"), ["media_id", "word"]).join(owner, ["media_id", "landed"])
+        .groupBy("media_id", "ordinal", "forced").agg(side(0).alias("l"), side(1).alias("r"))
+    ).select(F.struct("media_id", "ordinal", "forced").alias("j"), "l", "r")
     both = F.col("l.id").isNotNull() & F.col("r.id").isNotNull()
     clean = both & ((F.col("l.id") == F.col("r.id")) | ~_suspicious(F.col("j.forced")))
     open_left = sides.where(~clean & F.col("l.id").isNotNull()).select(
         "j.media_id", F.col("l.first_word").alias("from_word")
     )
-    totals = words.groupBy("media_id").agg((F.max("ordinal") + 1).alias("total"))
-    gap = (
-        words.join(owners.select("media_id", F.col("word").alias("ordinal")), ["media_id", "ordinal"], "left_anti")
-        .groupBy("media_id")
-        .agg(F.min("ordinal").alias("gap"))
-    )
-    reach = totals.join(gap, "media_id", "left").withColumn("cursor", F.coalesce("gap", "total"))
+    reach = known.where("spoken = 1").groupBy("media_id").agg(
+        (F.max("word") + 1).alias("total"), F.min(F.when(F.col("landed").isNull(), F.col("word"))).alias("gap")
+    ).withColumn("cursor", F.coalesce("gap", "total"))
     if closed is None:
         reach = reach.withColumn("closed", F.lit(True))
     else:
@@ -67,13 +77,13 @@ def settle(
     edge = (
         reach.where((F.col("cursor") > 0) & ((F.col("cursor") < F.col("total")) | ~F.col("closed")))
         .select("media_id", (F.col("cursor") - 1).alias("word"))
-        .join(owners, ["media_id", "word"])
-        .select("media_id", F.col("first_word").alias("from_word"))
+        .join(known.select("media_id", "word", "landed"), ["media_id", "word"]).join(owner, ["media_id", "landed"])
+        .select("media_id", F.col("c.first_word").alias("from_word"))
     )
     mutable = open_left.unionByName(edge).groupBy("media_id").agg(F.min("from_word").alias("mutable_from"))
     frontier = (
-        words.join(mutable, "media_id")
-        .where(F.col("ordinal") >= F.col("mutable_from"))
+        known.where("spoken = 1").join(mutable, "media_id")
+        .where(F.col("word") >= F.col("mutable_from"))
         .groupBy("media_id")
         .agg(F.min("start").alias("frontier"))
     )
@@ -86,7 +96,10 @@ def settle(
             F.coalesce("frontier", F.lit(float("inf"))).alias("frontier"),
         )
     )
-    keyed = cues.where("first_word <= last_word").withColumn("__s", F.coalesce("speaker", F.lit("")))
+    # Texts and whatever else the cues carry are not placed.
+    keyed = ranges.select(
+        "media_id", "id", "start", "end", F.coalesce("speaker", F.lit("")).alias("__s"), "landed", "last_word"
+    )
     ranked = Ordered.of(keyed, ["media_id"], ["start", "end", "__s", "landed"]).scan(rank=row_number()).rows
     held = (F.col("last_word") + 1 > F.col("mutable_from")) | (F.col("start") >= F.col("frontier"))
     judged = ranked.join(limits, "media_id").withColumn("held", held)

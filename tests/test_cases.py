@@ -357,3 +357,23 @@ def test_files_are_read_inside_their_rows(spark):
     for frame in (words, sentences, segments):
         assert "Exchange" not in frame._jdf.queryExecution().toString()
         assert "Window" not in frame._jdf.queryExecution().toString()
+
+
+def test_settling_places_no_texts(spark, monkeypatch):
+    """The later landing owns a word, a range may pass the known words, a gap holds the rest."""
+    from cueloom.streaming import settle as module
+
+    placed, of = [], module.Ordered.of
+    monkeypatch.setattr(module.Ordered, "of", lambda df, *a: placed.append(df.columns) or of(df, *a))
+    spec = "media_id long, id string, landed long, start double, end double, speaker string, first_word int, last_word int, source string"
+    cues_ = spark.createDataFrame([
+        (1, "a", 0, 0.0, 2.0, "x", 0, 1, "t"), (1, "b", 1, 5.0, 6.0, "y", 2, 3, "t"), (1, "c", 2, 7.0, 9.0, None, 4, 9, "t"),
+        (2, "a", 0, 0.0, 2.0, "x", 0, 1, "t"), (2, "b", 1, 2.1, 3.0, "x", 1, 2, "t"), (2, "bad", 2, 0.0, 1.0, "x", 3, 2, "t"),
+        (3, "a", 0, 0.0, 1.0, "x", 0, 0, "t"), (3, "b", 1, 9.0, 9.5, "x", 2, 2, "t"),
+    ], spec)
+    words_ = spark.createDataFrame([(m, i, float(i)) for m, n in ((1, 6), (2, 3), (3, 3)) for i in range(n)], "media_id long, ordinal int, start double")
+    cuts = spark.createDataFrame([(1, 1, False), (2, 0, True), (2, 1, False)], "media_id long, ordinal int, forced boolean")
+    got = sorted((r.media_id, r.id, r.final_id) for r in settle(cues_, cuts, words_).collect())
+    # 1: c ends past the known words; 2: the forced cut holds all; 3: a is the last cue before a gap.
+    assert got == [(1, "a", "1"), (1, "b", "2")]
+    assert placed == [["media_id", "id", "start", "end", "__s", "landed", "last_word"]]
