@@ -10,7 +10,7 @@ from cueloom.operators import reconcile as R
 from cueloom.operators import words as W
 from cueloom.queries import views as V
 from cueloom.queries.registry import query, with_
-from cueloom.session import scratch_dir
+from cueloom.session import materialize, scratch_dir
 from cueloom.queries.timeline import BATCHES, SILENCES
 from cueloom.sources import sinks as S
 from cueloom.sources import subtitles as T
@@ -595,7 +595,8 @@ def batch_attempt_log(spark, d):
 
 def word_batches(spark, d):
     """Batches of 40 words, and replies that claim words well and badly by their number."""
-    words = V.words(spark, d).withColumn("batch", F.floor(F.col("ordinal") / 40))
+    # Read once for the heads and several times by the checks: timed and stored once.
+    words = materialize(V.words(spark, d).withColumn("batch", F.floor(F.col("ordinal") / 40)))
     heads = words.groupBy("media_id", "batch").agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 8)))
     items = heads.withColumn("pos", piece).withColumns({

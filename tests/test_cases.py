@@ -377,3 +377,10 @@ def test_settling_places_no_texts(spark, monkeypatch):
     # 1: c ends past the known words; 2: the forced cut holds all; 3: a is the last cue before a gap.
     assert got == [(1, "a", "1"), (1, "b", "2")]
     assert placed == [["media_id", "id", "start", "end", "__s", "landed", "last_word"]]
+
+
+def test_words_read_several_times_are_stored_once(spark):
+    from cueloom.queries.tables import word_batches
+
+    words_ = word_batches(spark, "/root/testdata/sf0.001")[1]
+    assert "ArrowEvalPython" not in words_._jdf.queryExecution().toString()
