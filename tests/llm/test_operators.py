@@ -79,7 +79,7 @@ def test_forest_awkward_rows(spark):
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(101, 100)], "hi long, lo long")
-    got = {r.vertex: r.root for r in graph.components(edges).collect()}
+    got = {r.vertex: r.root for r in op7_paragraphs.graph.components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
 
 
@@ -377,3 +377,48 @@ def test_paragraphs_that_meet_only_their_neighbours_are_not_candidates(spark):
     met = shared([*alone, edited])
     assert len(met) and met.groupby("root").vertex.nunique().min() > 1
     assert len(shared([" ".join(["a", "b", "c", "d", "e", "f", "g"] * 20)]))
+
+
+def test_paragraphs_words_around_neighbours_travel_once(spark):
+    words = prose(8100, 600)
+    starts = [0, 12, 25, 200, 590 - 26]
+    wanted = [{"pack": p, "i": 0, "j": 0, "mine": 0, "id": 10 * p + k, "start": s} for p in (7, 3) for k, s in enumerate(starts)]
+    batch = pa.RecordBatch.from_pylist(
+        [{"content": " ".join(words), "doc_id": 1, "digest": 2, "wanted": wanted}],
+        schema=pa.schema([("content", pa.string()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("wanted", pa.list_(pa.struct([
+            ("pack", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("mine", pa.int32()), ("id", pa.int64()), ("start", pa.int32())])))]),
+    )
+    pieces = pa.Table.from_batches(list(op7_paragraphs._slicer(26, 48)(iter([batch]))))
+    assert sorted(pieces["pack"].to_pylist()) == [3, 3, 3, 7, 7, 7]
+    assert sum(map(len, pieces["words"].to_pylist())) == 2 * ((25 + 74) + (48 + 74) + (48 + 26 + 10))
+    hashes = (op7_paragraphs.shingles.words(pa.array([" ".join(words)]))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    around = op7_paragraphs._Windows(pieces, 26)
+    for k in range(len(around.id)):
+        text, _, at = around.around(k)
+        s = around.start[k]
+        assert s == starts[around.id[k] % 10] and at == min(s, 48)
+        assert (text == hashes[max(0, s - 48) : s + 74]).all()
+
+
+def test_paragraphs_that_share_a_root_are_linked_to_the_least(spark):
+    texts = [" ".join(prose(8200 + i, 300)) for i in range(6)]
+    words = texts[0].split()
+    texts.append(" ".join([*words[:150], "changed", *words[151:]]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 3])], ["content"]) for i in range(0, 7, 3)]
+    band = op7_paragraphs._bander(26, 24, 8, 2, 0.95)
+    plain = pa.Table.from_batches(list(band(iter(batches)))).sort_by("root")
+    met = pa.Table.from_batches(list(op7_paragraphs._shared(iter(plain.to_batches())))).to_pandas()
+    met["lo"] = met.groupby("root").vertex.transform("min")
+    want = {(lo, hi) for lo, hi in zip(met.lo, met.vertex) if lo != hi}
+    sent = pa.Table.from_batches(list(op7_paragraphs._sender(band, 5)(iter(batches)))).sort_by("part")
+    got = pa.Table.from_batches(list(op7_paragraphs._met(iter(sent.to_batches(max_chunksize=2))))).to_pandas()
+    assert want and set(zip(got.lo, got.hi)) == want
+
+
+def test_components_that_leave_the_rounds_early(spark):
+    chain = [(k + 1, k) for k in range(40)] + [(100, 99), (102, 99), (103, 102), (201, 200)]
+    edges = spark.createDataFrame(chain, "hi long, lo long")
+    for after in (1, 2):
+        found = {r.vertex: r.root for r in op7_paragraphs.graph.components(edges, shed_after=after).collect()}
+        assert found == {r.vertex: r.root for r in op7_paragraphs.graph.components(edges).collect()}
+        assert found[40] == 0 and found[103] == 99 and found[201] == 200 and len(found) == 47
