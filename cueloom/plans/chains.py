@@ -55,7 +55,9 @@ def walk_stops(
     every position of a block at once. A block then shrinks to a table (entry -> exit) of at
     most ``stride`` rows; tables of ``fan`` blocks combine level by level until one entry per
     key remains, and the true entries are handed back down. Groups stay bounded by the block
-    size and the fan, however long one recording is.
+    size and the fan, however long one recording is. A key of one block is entered at 0 and
+    needs no table; many such keys share a group, for a group of its own takes far longer
+    than its walk.
 
     ``totals``: by, n. ``marks``: by, pos, and whatever ``jump`` reads.
     Returns by, pos, stop (exclusive end), forced.
@@ -64,7 +66,14 @@ def walk_stops(
         raise ValueError("block must be at least one stride long")
     types = {f.name: f.dataType.simpleString() for f in totals.schema.fields}
     keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-    grid = totals.where("n > 0").select(
+    totals = totals.where("n > 0")
+    inside = totals.where(F.col("n") <= block)
+    short = _short_walks(inside, marks.where(F.col("pos") < block), by, jump, keys)
+    totals = totals.where(F.col("n") > block)
+    if totals.isEmpty():
+        return short
+    marks = marks.join(spread(totals.select(*by)), by, "left_semi")
+    grid = totals.select(
         *by,
         F.col("n").cast("long").alias("n"),
         F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block))).alias("b"),
@@ -171,4 +180,31 @@ def walk_stops(
         grouped(located)
         .cogroup(grouped(near))
         .applyInPandas(stops, f"{keys}, pos long, stop long, forced boolean")
+        .unionByName(short)
+    )
+
+
+def _short_walks(totals: DataFrame, marks: DataFrame, by: list[str], jump: Jump, keys: str) -> DataFrame:
+    """``walk_stops`` of keys of one block, many to a group."""
+    n = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(df):
+        # A fixed number of partitions: small as the tables are, they would come to one task.
+        pack = F.pmod(F.xxhash64(*by), F.lit(8 * n)).cast("int")
+        return df.withColumn("pack", pack).toDF(*df.columns, "pack").repartition(n, "pack").groupBy("pack")
+
+    def walks(totals_pdf, marks_pdf):
+        at = marks_pdf.groupby(by, sort=False, dropna=False).indices
+        out = []
+        for key, total in zip(totals_pdf[by].itertuples(index=False, name=None), totals_pdf["n"].tolist()):
+            mine = at.get(key if len(by) > 1 else key[0], [])
+            nxt, forced = jump(0, total, total, marks_pdf.iloc[mine])
+            pos = 0
+            while pos < total:
+                out.append((*key, pos, int(nxt[pos]), bool(forced[pos])))
+                pos = int(nxt[pos])
+        return pd.DataFrame(out, columns=[*by, "pos", "stop", "forced"])
+
+    return packed(totals.select(*by, F.col("n").cast("long").alias("n"))).cogroup(packed(marks)).applyInPandas(
+        walks, f"{keys}, pos long, stop long, forced boolean"
     )

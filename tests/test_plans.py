@@ -142,6 +142,40 @@ def test_walk_stops_over_many_levels(spark, block, fan):
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
 
 
+def test_short_walks_share_their_groups(spark):
+    """Hundreds of keys of one block come to Python together, with the marks of their own."""
+    import glob
+    import tempfile
+
+    seen = tempfile.mkdtemp(prefix="walks-", dir="/tmp")
+    rng = random.Random(5)
+    strides = {(k % 3, k): [rng.randint(1, 7) for _ in range(rng.randint(1, 20))] for k in range(600)}
+    strides[(0, 600)] = [rng.randint(1, 7) for _ in range(90)]
+    marks = [(*k, i, s) for k, row in strides.items() for i, s in enumerate(row)]
+    totals = spark.createDataFrame([(*k, len(r)) for k, r in strides.items()], "m long, k long, n long")
+
+    def jump(start, size, total, pdf):
+        tempfile.NamedTemporaryFile(dir=seen, prefix="j", delete=False).close()
+        nxt = np.zeros(size, dtype=np.int64)
+        for pos, s in zip(pdf["pos"], pdf["s"]):
+            if start <= pos < start + size:
+                nxt[pos - start] = min(total, pos + s)
+        return nxt, np.zeros(size, dtype=bool)
+
+    got = walk_stops(
+        totals, spark.createDataFrame(marks, "m long, k long, pos long, s long"), ["m", "k"], jump, 8, 32, 4
+    ).select("m", "k", "pos", "stop").collect()
+    want = []
+    for k, row in strides.items():
+        at = 0
+        while at < len(row):
+            want.append((*k, at, min(len(row), at + row[at])))
+            at += row[at]
+    assert sorted(map(tuple, got)) == sorted(want)
+    # Once for each short key, twice for the three blocks of the long one: its table and its stops.
+    assert len(glob.glob(f"{seen}/j*")) == 600 + 2 * 3
+
+
 def broadcasts(df):
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
 
